@@ -6,6 +6,13 @@ GROUPS = [
     "a_sources",
     "b_expressions",
     "c_joins",
+    "d_aggregates",
+    "e_windows",
+    "f_sets",
+    "g_quality",
+    "h_recode",
+    "i_features",
+    "j_master",
 ]
 
 

@@ -76,8 +76,8 @@ ENRICHED_SQL = f"""SELECT v.*, lpad(v.I01, 2, '0') AS codigo_provincia_2d_homo,
 
 @query("c05_lookup_join", ENRICHED_SQL)
 def c05(spark, sf):
-    lookup = geo.geographic_lookup(dictionaries(spark, sf))
-    return geo.enriched(geo.homologated_table(view(spark, sf, "vivienda"), "vivienda"), lookup)
+    levels = geo.lookup_levels(geo.geographic_lookup(dictionaries(spark, sf)))
+    return geo.enriched(geo.homologated_table(view(spark, sf, "vivienda"), "vivienda"), levels)
 
 
 @query(
@@ -87,8 +87,8 @@ def c05(spark, sf):
 )
 def c06(spark, sf):
     before = view(spark, sf, "vivienda")
-    lookup = geo.geographic_lookup(dictionaries(spark, sf))
-    return joins.fan_out(before, geo.enriched(geo.homologated_table(before, "vivienda"), lookup))
+    levels = geo.lookup_levels(geo.geographic_lookup(dictionaries(spark, sf)))
+    return joins.fan_out(before, geo.enriched(geo.homologated_table(before, "vivienda"), levels))
 
 
 def _audit_sql(name, side):

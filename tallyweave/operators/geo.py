@@ -18,7 +18,7 @@ from tallyweave.functions.expressions import (
     padded_code,
     parent_code,
 )
-from tallyweave.operators.bounded import broadcast_checked
+from tallyweave.operators.bounded import broadcast_checked, small_copy
 
 
 def province_names(dictionary: DataFrame) -> DataFrame:
@@ -88,18 +88,29 @@ def homologated_table(df: DataFrame, table: str) -> DataFrame:
     return homologated(df, presets.GEO_COLUMNS_BY_TABLE.get(table.lower(), []))
 
 
-def enriched(df: DataFrame, lookup: DataFrame | None) -> DataFrame:
-    """Add geography names by the most specific code level the table has."""
+def lookup_levels(lookup: DataFrame | None) -> dict[str, DataFrame]:
+    """Code column -> distinct names of that level, most specific level first.
+
+    The size of the lookup is checked once. A small one is broadcast at every level; a
+    large one is checked level by level and shuffled where it stays large.
+    """
     if lookup is None:
-        return df
-    levels = [
-        ("codigo_parroquia_6d", lookup.columns),
-        ("codigo_canton_4d", ["codigo_canton_4d", "cantonNombre", "codigo_provincia_2d", "provinciaNombre"]),
-        ("codigo_provincia_2d", ["codigo_provincia_2d", "provinciaNombre"]),
-    ]
-    for code, wanted in levels:
+        return {}
+    wanted = {
+        "codigo_parroquia_6d": lookup.columns,
+        "codigo_canton_4d": ["codigo_canton_4d", "cantonNombre", "codigo_provincia_2d", "provinciaNombre"],
+        "codigo_provincia_2d": ["codigo_provincia_2d", "provinciaNombre"],
+    }
+    small = small_copy(lookup)
+    if small is None:
+        return {k: broadcast_checked(lookup.select(*names).distinct()) for k, names in wanted.items()}
+    return {k: F.broadcast(small.select(*names).distinct()) for k, names in wanted.items()}
+
+
+def enriched(df: DataFrame, levels: Mapping[str, DataFrame]) -> DataFrame:
+    """Add geography names by the most specific code level the table has."""
+    for code, names in levels.items():
         if f"{code}_homo" in df.columns:
-            names = broadcast_checked(lookup.select(*wanted).distinct())
             return df.join(names, df[f"{code}_homo"] == names[code], "left")
     return df
 
@@ -127,9 +138,9 @@ def with_regions(df: DataFrame) -> DataFrame:
     return df.withColumns(added) if added else df
 
 
-def geographic_recode(df: DataFrame, table: str, lookup: DataFrame | None) -> DataFrame:
+def geographic_recode(df: DataFrame, table: str, levels: Mapping[str, DataFrame]) -> DataFrame:
     """Code columns, names, urban flag and regions of one table."""
-    return with_regions(with_urban_flag(enriched(homologated_table(df, table), lookup)))
+    return with_regions(with_urban_flag(enriched(homologated_table(df, table), levels)))
 
 
 def lookup_uniqueness(lookup: DataFrame, key: str = "codigo_parroquia_6d") -> DataFrame:

@@ -131,12 +131,12 @@ def _known_counts(df: DataFrame, names: Iterable[str]) -> Column:
 
 
 def schema_compliance(df: DataFrame, expected: list[str]) -> DataFrame:
-    """One row: expected columns present, missing and extra ones, and rows that fill them all."""
+    """One row: expected columns present, missing and extra ones, rows that fill all present ones."""
     have, want = set(df.columns), list(dict.fromkeys(expected))
     matching = [c for c in want if c in have]
     missing = sorted(set(want) - have)
     share = 100.0 * len(matching) / len(want) if want else 100.0
-    filled = reduce(lambda a, c: a & F.col(quoted(c)).isNotNull(), matching, F.lit(not missing))
+    filled = reduce(lambda a, c: a & F.col(quoted(c)).isNotNull(), matching, F.lit(True))
     return df.agg(
         F.count("*").alias("rows"),
         F.count_if(filled).alias("complete_rows"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import quoted
-from tallyweave.operators.bounded import broadcast_checked
 from tallyweave.sources.workspace import stored
 
 _LOCAL_POSITION = (1 << 33) - 1
@@ -48,8 +47,8 @@ def with_global_index(df: DataFrame, order: list[Column], index: str, total: str
         F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"),
         F.sum("__rows").over(Window.partitionBy()).alias(total),
     )
-    offsets = broadcast_checked(offsets)
-    return fixed.join(offsets, fixed["__part"] == offsets["__p"]).select(
+    # no more rows than shuffle partitions, so always small enough to broadcast
+    return fixed.join(F.broadcast(offsets), fixed["__part"] == offsets["__p"]).select(
         *[quoted(c) for c in df.columns],
         (F.col("__before") + F.col("__pos") + F.lit(1)).alias(index),
         total,

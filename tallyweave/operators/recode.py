@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +12,7 @@ from tallyweave import presets
 from tallyweave.functions.columns import quoted
 from tallyweave.functions.expressions import as_code
 from tallyweave.operators.bounded import broadcast_checked, small_copy
-from tallyweave.operators.geo import geographic_lookup, geographic_recode
+from tallyweave.operators.geo import geographic_lookup, geographic_recode, lookup_levels
 
 MAX_LITERAL_CODES = 2_000
 LOG_SCHEMA = (
@@ -64,19 +64,16 @@ def recodings(mappings: DataFrame) -> list[Recoding]:
     ]
 
 
-def recode_variable(df: DataFrame, mappings: DataFrame, variable: str, target: str) -> DataFrame:
-    """Label of the code; a code without a label stays as it is, null stays null.
+def recode_by_map(df: DataFrame, pairs: Sequence[tuple[str, str]], variable: str, target: str) -> DataFrame:
+    """Label of the code; a code without a label stays as it is, null stays null."""
+    code = as_code(variable)
+    labels = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    return df.withColumn(target, F.coalesce(F.try_element_at(labels, code), code))
 
-    A small dictionary becomes a literal map, a larger one a join.
-    """
-    pairs = mappings.filter(F.col("variable_codigo") == variable).select("codigo", "etiqueta")
+
+def recode_by_join(df: DataFrame, pairs: DataFrame, variable: str, target: str) -> DataFrame:
+    """The same rule for a dictionary of any size: codes and labels joined to the rows."""
     code = as_code(variable)
-    small = small_copy(pairs, MAX_LITERAL_CODES)
-    if small is not None:
-        items = [F.lit(x) for r in small.collect() for x in (r.codigo, r.etiqueta)]
-        if not items:
-            return df
-        return df.withColumn(target, F.coalesce(F.try_element_at(F.create_map(*items), code), code))
     labels = broadcast_checked(pairs.select(F.col("codigo").alias("__code"), F.col("etiqueta").alias("__label")))
     kept = [c for c in df.columns if c != target]
     return df.join(labels, code == F.col("__code"), "left").select(
@@ -85,11 +82,25 @@ def recode_variable(df: DataFrame, mappings: DataFrame, variable: str, target: s
 
 
 def recode_table(df: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, list[Recoding]]:
-    """Recode every flagged variable the table has."""
+    """Recode every flagged variable the table has.
+
+    A dictionary of a few thousand codes becomes literal maps, a larger one joins.
+    """
     mappings = mappings_for(dictionary, df.columns)
-    done = recodings(mappings)
-    for r in done:
-        df = recode_variable(df, mappings, r.variable, r.target)
+    small = small_copy(mappings, MAX_LITERAL_CODES)
+    if small is None:
+        done = recodings(mappings)
+        for r in done:
+            pairs = mappings.filter(F.col("variable_codigo") == r.variable)
+            df = recode_by_join(df, pairs, r.variable, r.target)
+        return df, done
+    rows = small.collect()  # at most MAX_LITERAL_CODES
+    done = []
+    for variable in sorted({r.variable_codigo for r in rows}):
+        own = [r for r in rows if r.variable_codigo == variable]
+        target = max((r.campo for r in own if r.campo), default=f"{variable}_recoded")
+        df = recode_by_map(df, [(r.codigo, r.etiqueta) for r in own], variable, target)
+        done.append(Recoding(variable, target, sum(r.filas for r in own)))
     return df, done
 
 
@@ -97,7 +108,7 @@ def recode_all(
     tables: Mapping[str, DataFrame], dictionaries: Mapping[str, DataFrame]
 ) -> tuple[dict[str, DataFrame], list[tuple]]:
     """Recode and locate every data table; returns the tables and the operation log rows."""
-    lookup = geographic_lookup(dictionaries)
+    levels = lookup_levels(geographic_lookup(dictionaries))
     out, log = {}, []
     for name, df in tables.items():
         if name.startswith(presets.DICTIONARY_PREFIX):
@@ -108,7 +119,7 @@ def recode_all(
             df, done = recode_table(df, dictionary)
             log += [(name, "variable_recoding", r.variable, r.target, r.codes, True, None) for r in done]
         columns = [c for c in presets.GEO_COLUMNS_BY_TABLE.get(name, []) if c in df.columns]
-        out[name] = geographic_recode(df, name, lookup)
+        out[name] = geographic_recode(df, name, levels)
         added = len(out[name].columns) - len(df.columns)
         log.append((name, "geographic_recoding", ",".join(columns), "geography", added, True, None))
     return out, log
