@@ -13,6 +13,7 @@ GROUPS = [
     "h_recode",
     "i_features",
     "j_master",
+    "k_models",
 ]
 
 

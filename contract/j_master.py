@@ -55,7 +55,7 @@ def j00(spark, sf):
 
 CENSUS_BASE_SQL = f"""SELECT p.ID_VIV AS idVivienda, p.ID_HOG AS idHogar, p.ID_PER AS idPersona, p.P03 AS edad, p.P02 AS sexoCodigo,
     p.I01 AS provinciaCodigo, p.I02 AS ubicacionCodigo, p.CANTON AS cantonCodigo, p.grupo_edad_detallado, p.grupo_edad_economico,
-    p.es_dependiente_demografico, p.es_poblacion_activa, h.H01 AS numeroDormitorios, h.H1303 AS totalPersonasHogar,
+    p.es_dependiente_demografico, p.es_poblacion_activa, p.nivel_instruccion, h.H01 AS numeroDormitorios, h.H1303 AS totalPersonasHogar,
     v.V01 AS tipoViviendaCodigo, v.V0201R AS materialParedesCodigo, v.tipo_techo
     FROM (SELECT *, {age_rules()} FROM {sub('poblacion')}) p
     JOIN {sub('hogar')} h ON p.ID_VIV = h.ID_VIV AND p.ID_HOG = h.ID_HOG
@@ -101,7 +101,7 @@ def _metrics_sql(name: str, base: str, columns: int, nullable: list[str], provin
 
 @query(
     "j03_master_tables",
-    _metrics_sql("censo_master", CENSUS_BASE_SQL, 17, ["edad", "sexoCodigo", "tipo_techo"], "0", 4, "")
+    _metrics_sql("censo_master", CENSUS_BASE_SQL, 18, ["edad", "sexoCodigo", "nivel_instruccion", "tipo_techo"], "0", 4, "")
     + " UNION ALL "
     + _metrics_sql(
         "enemdu_master", SURVEY_BASE_SQL, 11, ["ingresoLaboral"], "0", 0, "target_empleo_formal,target_ingresos_suficientes"

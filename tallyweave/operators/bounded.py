@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyweave.functions.expressions import cell_bytes
@@ -13,8 +13,8 @@ BYTES_PER_CELL = 50
 MB = 1024 * 1024
 
 
-def small_copy(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame | None:
-    """The table held as literal rows if it has at most ``max_rows`` and ``max_bytes``, else None.
+def small_rows(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[Row] | None:
+    """The rows if there are at most ``max_rows`` of ``max_bytes`` together, else None.
 
     Rows and bytes are measured by a distributed aggregate first, so no more than the
     bound ever reaches the driver.
@@ -22,7 +22,13 @@ def small_copy(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYT
     size = df.agg(F.count("*").alias("n"), _bytes(df).alias("b")).first()
     if size.n > max_rows or (size.b or 0) > max_bytes:
         return None
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.collect()
+
+
+def small_copy(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame | None:
+    """The table held as literal rows if it is proven small, else None."""
+    rows = small_rows(df, max_rows, max_bytes)
+    return None if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -369,12 +369,17 @@ def overall_score(checks: DataFrame) -> DataFrame:
 # --- wide tables ----------------------------------------------------------------------------
 
 
-def wide_table_metrics(df: DataFrame, table: str, keys: list[str] | None = None) -> DataFrame:
-    """One row of integrity metrics of a wide table, in one pass."""
+def wide_table_metrics(
+    df: DataFrame, table: str, keys: list[str] | None = None, province: str | None = None
+) -> DataFrame:
+    """One row of integrity metrics of a wide table, in one pass.
+
+    ``keys`` and ``province`` name the columns to check where the table has renamed them.
+    """
     census = "censo" in table.lower() or table in presets.REQUIRED_TABLES
     default = presets.ID_COLUMNS["poblacion" if census else "enemdu_personas"]
     keys = present(df, keys or default)
-    province = first_present(df, presets.PROVINCE_COVERAGE_COLUMNS)
+    province = province or first_present(df, presets.PROVINCE_COVERAGE_COLUMNS)
     features = starting(df.columns, presets.FEATURE_NAME_PREFIXES)
     targets = starting(df.columns, ["target_"])
     rows = F.count("*")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave import presets
 from tallyweave.functions.columns import quoted
 from tallyweave.functions.expressions import as_code
-from tallyweave.operators.bounded import broadcast_checked, small_copy
+from tallyweave.operators.bounded import broadcast_checked, small_rows
 from tallyweave.operators.geo import geographic_lookup, geographic_recode, lookup_levels
 
 MAX_LITERAL_CODES = 2_000
@@ -87,14 +87,13 @@ def recode_table(df: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, list[
     A dictionary of a few thousand codes becomes literal maps, a larger one joins.
     """
     mappings = mappings_for(dictionary, df.columns)
-    small = small_copy(mappings, MAX_LITERAL_CODES)
-    if small is None:
+    rows = small_rows(mappings, MAX_LITERAL_CODES)
+    if rows is None:
         done = recodings(mappings)
         for r in done:
             pairs = mappings.filter(F.col("variable_codigo") == r.variable)
             df = recode_by_join(df, pairs, r.variable, r.target)
         return df, done
-    rows = small.collect()  # at most MAX_LITERAL_CODES
     done = []
     for variable in sorted({r.variable_codigo for r in rows}):
         own = [r for r in rows if r.variable_codigo == variable]

@@ -28,7 +28,8 @@ def ingest_file(spark: SparkSession, entry: Row) -> tuple:
             return failed(f"Archivo no encontrado: {source}")
         df = scan_delimited(spark, source, entry.delimitador)
         partitioned = entry.columna_particion in df.columns
-        rows = write_table(df, destination, entry.columna_particion)
+        rows = df.count()
+        write_table(df, destination, entry.columna_particion)
         check = verification(spark.read.schema(df.schema).parquet(destination), rows).first()
         size = path_size_mb(spark, source, "text")
     except (PySparkException, Py4JJavaError) as e:

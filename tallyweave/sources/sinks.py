@@ -6,7 +6,7 @@ import importlib.util
 import time
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave import presets
@@ -22,24 +22,20 @@ WRITE_SCHEMA = (
 )
 
 
-def write_table(df: DataFrame, path: str, partition: str | None = None, fmt: str = "parquet") -> int:
-    """Overwrite the table and return the rows written, counted during the write.
+def write_table(df: DataFrame, path: str, partition: str | None = None, fmt: str = "parquet") -> None:
+    """Overwrite the table, partitioned by a column if the table has it.
 
-    A partition column the table lacks is ignored. Rows are first brought together by the
-    partition value and spread within it, so a value makes few files even if it holds a
-    large share of the rows.
+    Rows are first brought together by the partition value and spread within it, so a
+    value makes few files even if it holds a large share of the rows.
     """
-    seen = Observation("rows")
-    placed = df.hint("rebalance", partition) if partition in df.columns else df
-    # last step of the writing tasks, so a task that runs again is not counted twice
-    counted = placed.observe(seen, F.count("*").alias("n"))
-    w = counted.write.mode("overwrite").option("compression", "snappy")
+    partitioned = partition in df.columns
+    placed = df.hint("rebalance", partition) if partitioned else df
+    w = placed.write.mode("overwrite").option("compression", "snappy")
     if fmt == "delta":
         w = w.option("overwriteSchema", True)
-    if partition in df.columns:
+    if partitioned:
         w = w.partitionBy(partition)
     w.format(fmt).save(path)
-    return seen.get["n"]
 
 
 def verification(written: DataFrame, expected: int) -> DataFrame:
@@ -69,15 +65,19 @@ def cluster_columns(df: DataFrame, table: str) -> list[str]:
 
 
 def persist_table(df: DataFrame, table: str, path: str, rows: int | None = None) -> tuple:
-    """Write one wide table, verify it, and report truthfully what layout was applied."""
+    """Write one wide table, verify it, and report truthfully what layout was applied.
+
+    ``rows`` is the expected number of rows; if the caller does not know it, the table is
+    counted, which reads only its join keys.
+    """
     start = time.monotonic()
+    rows = df.count() if rows is None else rows
     partition, layout = partition_column(df, table), cluster_columns(df, table)
-    out = repacked_for_persist(df, rows) if rows is not None else df
-    if layout:
-        out = out.sortWithinPartitions(*layout) if partition is None else out
-    written = write_table(out, path, partition)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    check = verification(back, written).first()
+    out = repacked_for_persist(df, rows)
+    if partition is None and layout:
+        out = out.sortWithinPartitions(*layout)
+    write_table(out, path, partition)
+    check = verification(df.sparkSession.read.schema(df.schema).parquet(path), rows).first()
     return (
         table,
         path,
@@ -86,7 +86,7 @@ def persist_table(df: DataFrame, table: str, path: str, rows: int | None = None)
         check.column_count,
         partition,
         check.integrity_check,
-        partition is not None,
+        partition is not None or bool(layout),
         time.monotonic() - start,
     )
 
