@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contract.census import CANTON_LOOKUP, PERSON_RULES, age_rules, dictionaries, region_rules, sub, view, views
-from contract.h_recode import GEO_PERSON_SQL
+from contract.census import CANTON_LOOKUP, age_rules, dictionaries, region_rules, sub, view, views
 from contract.i_features import CENSUS_TARGETS, SURVEY_TARGETS
 from contract.registry import query
 from tallyweave.operators import features, geo, quality
-from tallyweave.operators.features import all_features
 from tallyweave.operators.groups import household_aggregates, province_sizes
+from tallyweave.operators.joins import join_keeping
 from tallyweave.plans.master import census_master, master_tables, survey_master
 from tallyweave.plans.medallion import run_silver
 from tallyweave.sources.workspace import new_path
@@ -34,16 +33,18 @@ def j00(spark, sf):
     """Persons with geography, age rules and household size, joined wide, by province and age group."""
     levels = geo.lookup_levels(geo.geographic_lookup(dictionaries(spark, sf)))
     persons = geo.with_regions(geo.enriched(geo.homologated(view(spark, sf, "poblacion"), ["CANTON"]), levels))
-    persons = household_aggregates(features.age_features(persons))
-    persons = province_sizes(persons, "codigo_provincia_2d", "poblacion_total_provincia")
-    kept = persons.columns
-    tables = {"poblacion": persons, "hogar": view(spark, sf, "hogar"), "vivienda": view(spark, sf, "vivienda")}
-    from contract.c_joins import joins
-
-    joined = joins.join_keeping(
-        persons, tables["hogar"], {"ID_VIV": "ID_VIV", "ID_HOG": "ID_HOG"}, [f"`{c}`" for c in kept], []
+    persons = province_sizes(features.age_features(persons), "codigo_provincia_2d", "poblacion_total_provincia")
+    households = household_aggregates(view(spark, sf, "poblacion"), onto=view(spark, sf, "hogar"))
+    home = join_keeping(
+        households,
+        view(spark, sf, "vivienda"),
+        {"ID_VIV": "ID_VIV"},
+        ["ID_VIV AS viv", "ID_HOG AS hog", "`tamaño_hogar_calculado`"],
+        ["V01"],
+    )
+    wide = join_keeping(
+        persons, home, {"ID_VIV": "viv", "ID_HOG": "hog"}, [f"`{c}`" for c in persons.columns], ["`tamaño_hogar_calculado`"]
     )
-    wide = joins.join_keeping(joined, tables["vivienda"], {"ID_VIV": "ID_VIV"}, [f"`{c}`" for c in kept], ["V01"])
     return wide.groupBy("provinciaNombre", "region_geografica", "grupo_edad_detallado").agg(
         F.count("*").alias("personas"),
         F.sum("es_dependiente_demografico").alias("dependientes"),

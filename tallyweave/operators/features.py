@@ -193,18 +193,20 @@ def table_features(
     age: str = "P03",
     sex: str = "P02",
     province_values: bool = True,
+    household_values: bool = True,
 ) -> DataFrame:
     """All features of one table: person rules, group values, indices, then targets.
 
     ``province_values=False`` leaves out the province totals, ranks and percentiles, which
-    sort the whole table, for callers that do not use them.
+    sort the whole table, and ``household_values=False`` the values of the household, which
+    shuffle it, for callers that do not use them or add them elsewhere.
     """
     source = df.columns
     tie_break = tie_break or [c for c in presets.ID_COLUMNS.get(table, []) if c in source] or source
     out = education_features(sex_features(age_features(df, age), sex), source)
     if province_values:
         out = geographic_aggregates(out, table, tie_break)
-    if table == "poblacion":
+    if household_values and table == "poblacion":
         out = household_aggregates(out, age=age)
     out = development_index(vulnerability_index(out, source))
     return census_targets(out, source) if is_census(table) else survey_targets(out, source)

@@ -83,12 +83,11 @@ def geographic_aggregates(
     )
 
 
-def household_aggregates(
-    df: DataFrame, keys: tuple[str, str] = ("ID_VIV", "ID_HOG"), age: str = "P03"
-) -> DataFrame:
-    """Persons per household and, where the age is known, mean, extremes and dependency."""
-    if len(present(df, keys)) < len(keys):
-        return df
+HOUSEHOLD_KEYS = ("ID_VIV", "ID_HOG")
+
+
+def household_values(df: DataFrame, keys: tuple[str, str] = HOUSEHOLD_KEYS, age: str = "P03") -> DataFrame:
+    """One row per household: persons and, where the age is known, mean, extremes and dependency."""
     size = "tamaño_hogar_calculado"
     values = {size: F.count("*")}
     if age in df.columns:
@@ -100,7 +99,18 @@ def household_aggregates(
             "edad_minima_hogar": F.min(years),
             "dependientes_hogar": F.sum(flag((whole < low) | (whole >= high))),
         }
-    out = with_group_values(df, list(keys), values)
-    if "dependientes_hogar" in values:
+    out = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(*[v.alias(n) for n, v in values.items()])
+    if age in df.columns:
         out = out.withColumn("ratio_dependencia_hogar", F.col("dependientes_hogar") / F.col(quoted(size)))
     return out
+
+
+def household_aggregates(
+    df: DataFrame, keys: tuple[str, str] = HOUSEHOLD_KEYS, age: str = "P03", onto: DataFrame | None = None
+) -> DataFrame:
+    """Household values on each person, or on the rows of another table with the same keys."""
+    onto = df if onto is None else onto
+    if len(present(df, keys)) < len(keys) or len(present(onto, keys)) < len(keys):
+        return onto
+    values = household_values(df, keys, age)
+    return join_group_values(onto, values, list(keys), [c for c in values.columns if c not in keys])
