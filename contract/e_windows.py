@@ -47,7 +47,7 @@ def e03(spark, sf):
 def e04(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     sized = groups.province_sizes(df, "c_nationkey", "n")
-    indexed = ranking.with_global_index(sized, [F.desc("n"), F.col("c_nationkey"), F.col("c_custkey")], "i", "rows")
+    indexed = ranking.with_global_index(sized, ["n", "c_nationkey", "c_custkey"], "i", "rows", descending=["n"])
     return indexed.select(
         "c_custkey", "c_nationkey", ranking.ntile_of(F.col("i"), F.col("rows"), 100).alias("percentil")
     )

@@ -76,8 +76,8 @@ def geographic_aggregates(
     ranked = dense_rank_of_sizes(sizes, total, rank)
     out = join_group_values(df, ranked, [province], [total, rank], few_groups=True)
     out = out.withColumn(density, F.col(total) / F.lit(base))
-    order = [F.col(total).desc(), F.col(quoted(province)), *[F.col(quoted(c)) for c in tie_break]]
-    indexed = with_global_index(out, order, "__idx", "__n")
+    order = list(dict.fromkeys([total, province, *tie_break]))
+    indexed = with_global_index(out, order, "__idx", "__n", descending=[total])
     return indexed.withColumn(tile, ntile_of(F.col("__idx"), F.col("__n"), tiles)).select(
         *[quoted(c) for c in df.columns], total, density, rank, tile
     )

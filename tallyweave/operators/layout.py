@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.columns import quoted
 from tallyweave.functions.expressions import as_double
 from tallyweave.operators.bounded import BYTES_PER_CELL, MB
+from tallyweave.operators.placement import range_placed
 
 CLUSTER_BITS = 10
 
@@ -52,10 +53,10 @@ def repacked_to_size(df: DataFrame, rows: int, partitions: int, target_mb: int =
     return df.repartition(wanted) if wanted > partitions else df
 
 
-def clustering_key(df: DataFrame, columns: list[str], bits: int = CLUSTER_BITS) -> tuple[DataFrame, Column]:
-    """Table and a key that interleaves the bits of the columns scaled to ``2^bits`` steps.
+def clustering_key(df: DataFrame, columns: list[str], bits: int = CLUSTER_BITS) -> Column:
+    """Key that interleaves the bits of the columns scaled to ``2^bits`` steps.
 
-    Numbers scale between their extremes; other columns by the order of their hash bucket.
+    Numbers scale between their extremes; other columns by the bucket of their hash.
     """
     ends = df.agg(
         *[F.min(as_double(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
@@ -67,8 +68,7 @@ def clustering_key(df: DataFrame, columns: list[str], bits: int = CLUSTER_BITS)
         lo, hi = ends[f"lo{i}"], ends[f"hi{i}"]
         if lo is None:
             return F.pmod(F.xxhash64(quoted(c)), F.lit(top + 1))
-        span = (hi - lo) or 1.0
-        scaled = F.floor((as_double(c) - F.lit(lo)) / F.lit(span) * F.lit(top))
+        scaled = F.floor((as_double(c) - F.lit(lo)) / F.lit((hi - lo) or 1.0) * F.lit(top))
         return F.coalesce(scaled, F.lit(0)).cast("long")
 
     n = len(columns)
@@ -77,16 +77,16 @@ def clustering_key(df: DataFrame, columns: list[str], bits: int = CLUSTER_BITS)
         for i, c in enumerate(columns)
         for b in range(bits)
     ]
-    return df, reduce(add, parts)
+    return reduce(add, parts)
 
 
 def clustered(df: DataFrame, columns: list[str], files: int | None = None) -> DataFrame:
     """Rows near in all columns end near each other: range partitions of the interleaved key.
 
-    The rest of the row's clustering columns and a hash of the row follow in the order, so
-    that many rows with one key still spread over partitions.
+    The columns themselves and a hash of the row follow in the order, so that rows with one
+    key still spread over partitions.
     """
-    df, key = clustering_key(df, columns)
-    order = [key, *[F.col(quoted(c)) for c in columns], F.xxhash64(*[quoted(c) for c in df.columns])]
-    placed = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
-    return placed.sortWithinPartitions(*order[:-1])
+    keyed = df.withColumns(
+        {"__key": clustering_key(df, columns), "__row": F.xxhash64(*[quoted(c) for c in df.columns])}
+    )
+    return range_placed(keyed, ["__key", *columns, "__row"], partitions=files).drop("__key", "__row")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import quoted
+from tallyweave.operators.placement import range_placed
 from tallyweave.sources.workspace import stored
 
 _LOCAL_POSITION = (1 << 33) - 1
@@ -22,21 +25,19 @@ def dense_rank_of_sizes(sizes: DataFrame, size: str, name: str) -> DataFrame:
     return sizes.join(ranks, sizes[quoted(size)] == ranks["__size"]).drop("__size")
 
 
-def with_global_index(df: DataFrame, order: list[Column], index: str, total: str) -> DataFrame:
-    """Number the rows 1..n in the given order and add n.
+def with_global_index(
+    df: DataFrame, keys: list[str], index: str, total: str, descending: Collection[str] = (), **hot
+) -> DataFrame:
+    """Number the rows 1..n in the order of the keys and add n.
 
     Rows are range-partitioned and sorted by the whole order, then written once, so the
     partition a row belongs to is fixed. One offset per partition is added on reading.
     """
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumns(
-            {
-                "__part": F.spark_partition_id(),
-                "__pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_POSITION)),
-            }
-        )
+    placed = range_placed(df, keys, descending, **hot).withColumns(
+        {
+            "__part": F.spark_partition_id(),
+            "__pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_POSITION)),
+        }
     )
     fixed = stored(placed)
     # one row per partition
