@@ -189,7 +189,7 @@ def _content(df):
 def a09(spark, sf):
     path, df = new_path(spark, "sink"), _coded_orders(spark, sf)
     sinks.write_table(df, path, "codigo")
-    return _content(tables.scan_text_typed(spark, path, df))
+    return _content(tables.scan_as(spark, path, df.schema))
 
 
 @query(
@@ -216,7 +216,7 @@ def a10(spark, sf):
 def a12(spark, sf):
     path, df = new_path(spark, "sink"), table(spark, sf, "lineitem")
     sinks.write_table(df, path)
-    return sinks.verification(spark.read.schema(df.schema).parquet(path), df.count())
+    return sinks.verification(tables.scan_as(spark, path, df.schema), df.count())
 
 
 @query("a13_compaction", CONTENT_SQL)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from tallyweave.operators.reports import INGESTION_LOG_SCHEMA
 from tallyweave.sources.sinks import verification, write_table
-from tallyweave.sources.tables import folder_exists, path_size_mb
+from tallyweave.sources.tables import folder_exists, path_size_mb, scan_as
 from tallyweave.sources.text import active_control_rows, scan_delimited
 
 
@@ -30,7 +30,7 @@ def ingest_file(spark: SparkSession, entry: Row) -> tuple:
         partitioned = entry.columna_particion in df.columns
         rows = df.count()
         write_table(df, destination, entry.columna_particion)
-        check = verification(spark.read.schema(df.schema).parquet(destination), rows).first()
+        check = verification(scan_as(spark, destination, df.schema), rows).first()
         size = path_size_mb(spark, source, "text")
     except (PySparkException, Py4JJavaError) as e:
         return failed(str(e).split("\n")[0])

@@ -13,7 +13,7 @@ from tallyweave import presets
 from tallyweave.functions.columns import first_present
 from tallyweave.operators.layout import clustered, repacked_for_persist
 from tallyweave.operators.reports import as_json
-from tallyweave.sources.tables import file_sizes
+from tallyweave.sources.tables import file_sizes, scan_as
 
 TARGET_FILE_MB = 128
 WRITE_SCHEMA = (
@@ -77,7 +77,7 @@ def persist_table(df: DataFrame, table: str, path: str, rows: int | None = None)
     if partition is None and layout:
         out = out.sortWithinPartitions(*layout)
     write_table(out, path, partition)
-    check = verification(df.sparkSession.read.schema(df.schema).parquet(path), rows).first()
+    check = verification(scan_as(df.sparkSession, path, df.schema), rows).first()
     return (
         table,
         path,
@@ -104,13 +104,13 @@ def compacted(spark: SparkSession, source: str, path: str, target_mb: int = TARG
     size = file_sizes(df).agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("b")).first().b
     files = max(1, -(-size // (target_mb * 1024 * 1024)))
     df.coalesce(files).write.mode("overwrite").option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scan_as(spark, path, df.schema)
 
 
 def write_clustered(df: DataFrame, columns: list[str], path: str, files: int | None = None) -> DataFrame:
     """Write the table clustered on several columns and read it back."""
     clustered(df, columns, files).write.mode("overwrite").option("compression", "snappy").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scan_as(df.sparkSession, path, df.schema)
 
 
 def write_json_report(metrics: DataFrame, path: str) -> None:

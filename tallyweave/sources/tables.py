@@ -10,8 +10,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave import presets
+from tallyweave.functions.columns import quoted
 from tallyweave.operators.quality import structure_check
 
 log = logging.getLogger(__name__)
@@ -26,9 +28,9 @@ def scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
-def scan_text_typed(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """Read with the schema of ``like``, so partition columns keep zeros on the left."""
-    return spark.read.schema(like.schema).parquet(path)
+def scan_as(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Read a written table with its schema: partition columns keep zeros on the left and their place."""
+    return spark.read.schema(schema).parquet(path).select(*[quoted(c) for c in schema.names])
 
 
 def file_sizes(df: DataFrame) -> DataFrame:
