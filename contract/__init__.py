@@ -14,6 +14,7 @@ GROUPS = [
     "i_features",
     "j_master",
     "k_models",
+    "l_layout",
 ]
 
 

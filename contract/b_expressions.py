@@ -187,11 +187,9 @@ def b17(spark, sf):
 
 @query(
     "b18_aliases",
-    "SELECT h.n_name AS pais, p.n_name AS vecino FROM nation h JOIN nation p "
-    "ON h.n_regionkey = p.n_regionkey AND h.n_nationkey = p.n_nationkey",
+    "SELECT o.o_orderkey AS orden, c.c_name AS cliente FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
 )
 def b18(spark, sf):
-    df = table(spark, sf, "nation")
-    h, p = df.alias("h"), df.alias("p")
-    on = (F.col("h.n_regionkey") == F.col("p.n_regionkey")) & (F.col("h.n_nationkey") == F.col("p.n_nationkey"))
-    return h.join(p, on).select(F.col("h.n_name").alias("pais"), F.col("p.n_name").alias("vecino"))
+    o, c = table(spark, sf, "orders").alias("o"), table(spark, sf, "customer").alias("c")
+    joined = o.join(c, F.col("o.o_custkey") == F.col("c.c_custkey"))
+    return joined.select(F.col("o.o_orderkey").alias("orden"), F.col("c.c_name").alias("cliente"))

@@ -203,13 +203,17 @@ def table_features(
     """
     source = df.columns
     tie_break = tie_break or [c for c in presets.ID_COLUMNS.get(table, []) if c in source] or source
-    out = education_features(sex_features(age_features(df, age), sex), source)
-    if province_values:
-        out = geographic_aggregates(out, table, tie_break)
+    # group values first: they move the rows, and the source columns are the fewest to move
+    grouped = geographic_aggregates(df, table, tie_break) if province_values else df
     if household_values and table == "poblacion":
-        out = household_aggregates(out, age=age)
-    out = development_index(vulnerability_index(out, source))
-    return census_targets(out, source) if is_census(table) else survey_targets(out, source)
+        grouped = household_aggregates(grouped, age=age)
+    ruled = education_features(sex_features(age_features(grouped, age), sex), source)
+    out = development_index(vulnerability_index(ruled, source))
+    out = census_targets(out, source) if is_census(table) else survey_targets(out, source)
+    rules = [c for c in ruled.columns if c not in grouped.columns]
+    values = [c for c in grouped.columns if c not in source]
+    rest = [c for c in out.columns if c not in ruled.columns]
+    return out.select(*[column(c) for c in (*source, *rules, *values, *rest)])
 
 
 def all_features(tables: Mapping[str, DataFrame], **options) -> dict[str, DataFrame]:

@@ -18,7 +18,7 @@ from tallyweave.functions.expressions import (
     padded_code,
     parent_code,
 )
-from tallyweave.operators.bounded import broadcast_checked, small_copy
+from tallyweave.operators.bounded import broadcast_checked, small_rows
 
 
 def province_names(dictionary: DataFrame) -> DataFrame:
@@ -101,10 +101,15 @@ def lookup_levels(lookup: DataFrame | None) -> dict[str, DataFrame]:
         "codigo_canton_4d": ["codigo_canton_4d", "cantonNombre", "codigo_provincia_2d", "provinciaNombre"],
         "codigo_provincia_2d": ["codigo_provincia_2d", "provinciaNombre"],
     }
-    small = small_copy(lookup)
-    if small is None:
+    rows = small_rows(lookup)
+    if rows is None:
         return {k: broadcast_checked(lookup.select(*names).distinct()) for k, names in wanted.items()}
-    return {k: F.broadcast(small.select(*names).distinct()) for k, names in wanted.items()}
+
+    def level(names: list[str]) -> DataFrame:
+        distinct = list(dict.fromkeys(tuple(r[n] for n in names) for r in rows))
+        return F.broadcast(lookup.sparkSession.createDataFrame(distinct, lookup.select(*names).schema))
+
+    return {k: level(names) for k, names in wanted.items()}
 
 
 def enriched(df: DataFrame, levels: Mapping[str, DataFrame]) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tallyweave import presets
 from tallyweave.functions.columns import containing, present, quoted, starting, with_label
+from tallyweave.functions.expressions import as_double
 from tallyweave.sources.workspace import shared_folder
 
 # --- Fixed values: estimator settings ------------------------------------------------
@@ -61,11 +62,28 @@ def class_summary(df: DataFrame, target: str) -> DataFrame:
 def training_data(df: DataFrame, target: str, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """The available features and the target as ``label``; rows without a target drop out.
 
-    ``keep`` names columns to carry along, such as the key of the split.
+    Numbers held as text become numbers. ``keep`` names columns to carry along, such as the
+    key of the split.
     """
     names = list(dict.fromkeys([*present(df, keep), *present(df, features), target]))
-    known = df.select(*[F.col(quoted(c)) for c in names]).filter(F.col(quoted(target)).isNotNull())
-    return with_label(known, target)
+    text = {c for c, t in df.dtypes if t == "string"}
+    items = [
+        as_double(c).alias(c) if c in presets.NUMERIC_TEXT and c in text and c not in keep else F.col(quoted(c))
+        for c in names
+    ]
+    return with_label(df.select(*items).filter(F.col(quoted(target)).isNotNull()), target)
+
+
+def countable_features(df: DataFrame, features: Sequence[str], limit: int = presets.MAX_CATEGORIES) -> list[str]:
+    """The features without texts of more than about ``limit`` values, such as names or keys.
+
+    Indexing a text holds all its values on the driver, so their number has to be bounded.
+    """
+    _, text = by_type(df, features)
+    if not text:
+        return list(features)
+    sizes = df.agg(*[F.approx_count_distinct(quoted(c)).alias(c) for c in text]).first()
+    return [c for c in features if c not in text or sizes[c] <= limit]
 
 
 def prepared(
@@ -87,7 +105,7 @@ def prepared(
         raise ValueError(f"{target} has fewer than two classes")
     if sizes.smallest_class < min_class:
         raise ValueError(f"smallest class of {target} has {sizes.smallest_class} rows")
-    return data, available
+    return data, countable_features(data, available)
 
 
 def by_type(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:

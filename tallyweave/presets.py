@@ -359,6 +359,16 @@ PRIORITY_FEATURES = ["grupo_", "es_", "tiene_", "indice_", "categoria_", "nivel_
 PRIORITY_FEATURE_LIMIT = 10
 SECONDARY_FEATURE_LIMIT = 5
 
+# columns of the wide tables that hold numbers as text
+NUMERIC_TEXT = [
+    "edad",
+    "horasTrabajadasSemana",
+    "ingresoLaboral",
+    "numeroDormitorios",
+    "totalPersonasHogar",
+]
+MAX_CATEGORIES = 10_000
+
 MODEL_TYPES = ["RandomForest", "GradientBoosting", "LogisticRegression"]
 MIN_CLASS_ROWS = 100
 MIN_TRAINING_ROWS = 1000

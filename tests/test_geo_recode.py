@@ -28,7 +28,7 @@ def test_most_specific_level_is_used(spark, census):
 
 
 def test_large_lookup_joins_without_broadcast(spark, census, monkeypatch):
-    monkeypatch.setattr(geo, "small_copy", lambda df: None)
+    monkeypatch.setattr(geo, "small_rows", lambda df: None)
     monkeypatch.setattr(geo, "broadcast_checked", lambda df: df)
     levels = geo.lookup_levels(geo.geographic_lookup(census))
     df = spark.createDataFrame([("101",), ("999",)], "CANTON string")

@@ -49,6 +49,14 @@ def test_types_decide_the_stages(wide):
         models.classifier("Otro")
 
 
+def test_numbers_as_text_and_texts_of_many_values(wide):
+    df = wide.withColumn("edad", F.col("edad").cast("string")).withColumn("nombre", F.col("idVivienda").cast("string"))
+    data, names = models.prepared(df, "target_jefe_hogar", ["edad", "nombre", "grupo_edad_detallado"])
+    assert dict(data.dtypes)["edad"] == "double"
+    assert names == ["edad", "nombre", "grupo_edad_detallado"]
+    assert models.countable_features(data, names, limit=100) == ["edad", "grupo_edad_detallado"]
+
+
 def test_settings_and_grids(wide):
     rf = models.classifier("RandomForest", "tuned")
     assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getMinInstancesPerNode(), rf.getSeed()) == (50, 15, 10, 42)
