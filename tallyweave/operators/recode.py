@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyweave import presets
@@ -38,12 +38,13 @@ def usable_mappings(dictionary: DataFrame) -> DataFrame:
     )
 
 
-def mappings_for(dictionary: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per variable of the table and code; of several labels the greatest wins."""
+def mappings_for(dictionary: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row per variable (of the table's columns) and code; of several labels the greatest wins."""
+    usable = usable_mappings(dictionary)
+    if columns is not None:
+        usable = usable.filter(F.col("variable_codigo").isin(columns))
     return (
-        usable_mappings(dictionary)
-        .filter(F.col("variable_codigo").isin(columns))
-        .groupBy("variable_codigo", as_code("codigo").alias("codigo"))
+        usable.groupBy("variable_codigo", as_code("codigo").alias("codigo"))
         .agg(
             F.max("etiqueta").alias("etiqueta"),
             F.max("campo").alias("campo"),
@@ -81,13 +82,17 @@ def recode_by_join(df: DataFrame, pairs: DataFrame, variable: str, target: str)
     )
 
 
-def recode_table(df: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, list[Recoding]]:
+def recode_table(
+    df: DataFrame, dictionary: DataFrame, rows: list[Row] | None = None
+) -> tuple[DataFrame, list[Recoding]]:
     """Recode every flagged variable the table has.
 
-    A dictionary of a few thousand codes becomes literal maps, a larger one joins.
+    A dictionary of a few thousand codes becomes literal maps, a larger one joins. ``rows``
+    are the mappings of the whole dictionary where the caller knows them to be few.
     """
     mappings = mappings_for(dictionary, df.columns)
-    rows = small_rows(mappings, MAX_LITERAL_CODES)
+    if rows is None:
+        rows = small_rows(mappings, MAX_LITERAL_CODES)
     if rows is None:
         done = recodings(mappings)
         for r in done:
@@ -95,7 +100,7 @@ def recode_table(df: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, list[
             df = recode_by_join(df, pairs, r.variable, r.target)
         return df, done
     done = []
-    for variable in sorted({r.variable_codigo for r in rows}):
+    for variable in sorted({r.variable_codigo for r in rows} & set(df.columns)):
         own = [r for r in rows if r.variable_codigo == variable]
         target = max((r.campo for r in own if r.campo), default=f"{variable}_recoded")
         df = recode_by_map(df, [(r.codigo, r.etiqueta) for r in own], variable, target)
@@ -108,14 +113,16 @@ def recode_all(
 ) -> tuple[dict[str, DataFrame], list[tuple]]:
     """Recode and locate every data table; returns the tables and the operation log rows."""
     levels = lookup_levels(geographic_lookup(dictionaries))
+    used = {presets.RECODE_DICTIONARY.get(name) for name in tables} & set(dictionaries)
+    few = {d: small_rows(mappings_for(dictionaries[d]), MAX_LITERAL_CODES) for d in used}
     out, log = {}, []
     for name, df in tables.items():
         if name.startswith(presets.DICTIONARY_PREFIX):
             out[name] = df
             continue
-        dictionary = dictionaries.get(presets.RECODE_DICTIONARY.get(name, ""))
-        if dictionary is not None:
-            df, done = recode_table(df, dictionary)
+        chosen = presets.RECODE_DICTIONARY.get(name)
+        if chosen in dictionaries:
+            df, done = recode_table(df, dictionaries[chosen], few[chosen])
             log += [(name, "variable_recoding", r.variable, r.target, r.codes, True, None) for r in done]
         columns = [c for c in presets.GEO_COLUMNS_BY_TABLE.get(name, []) if c in df.columns]
         out[name] = geographic_recode(df, name, levels)
