@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import simhash
+from tallyweave.llm import simhash, substrings
 from tallyweave.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,3 +24,15 @@ def query(fn: Query) -> Query:
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        "cut.n_bytes",
+        "cut.n_removed",
+        F.size("cut.spans").cast("long").alias("n_spans"),
+        F.sha2("cut.kept", 256).alias("kept_sha256"),
+    )
