@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import simhash, substrings
-from tallyweave.llm.tables import read
+from tallyweave.llm import packing, simhash, substrings
+from tallyweave.llm.tables import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Digest rows of the packing: the ids stay in the written pieces, their crc32 goes on."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = stored(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    return packing.pack(pieces.drop("ids")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
