@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import packing, simhash, substrings
-from tallyweave.llm.tables import read, stored
+from tallyweave.llm import language, packing, simhash, substrings
+from tallyweave.llm.tables import held_out, read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.with_language(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "language.lang_pred", "language.score")
+
+
 @query
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
