@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -43,30 +44,47 @@ class UnitEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.ids: dict[str, bytes] = {}
+        # of the parts between single spaces, without the space; None: not a unit
+        self.first: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes | None] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    @staticmethod
-    def _units(text: str) -> list[str] | None:
-        parts = text.split(" ")
-        if not text or text.isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return None
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    def _learn(self, known: dict[str, bytes | None], parts: set[str], before: str) -> None:
+        if len(known) > self.remembered:
+            known.clear()
+        new = []
+        for part in parts.difference(known):
+            if not part or part[0].isspace() or part[-1].isspace():
+                known[part] = None
+            else:
+                new.append(part)
+        for at in range(0, len(new), _BATCH):
+            own = new[at : at + _BATCH]
+            known.update(zip(own, self._encode([before + p for p in own]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        units = [self._units(t) for t in texts]
-        if len(self.ids) > self.remembered:
-            self.ids.clear()
-        new = list({u for own in units if own for u in own if u not in self.ids})
-        for at in range(0, len(new), _BATCH):
-            part = new[at : at + _BATCH]
-            self.ids.update(zip(part, self._encode(part), strict=True))
-        whole = iter(self._encode([t for t, own in zip(texts, units, strict=True) if own is None]))
-        get = self.ids.__getitem__
-        return [b"".join(map(get, own)) if own is not None else next(whole) for own in units]
+        split = [t.split(" ") for t in texts]
+        self._learn(self.first, {s[0] for s in split}, "")
+        self._learn(self.later, {p for s in split for p in s[1:]}, " ")
+        first, later, out, whole = self.first, self.later.__getitem__, [], []
+        for i, parts in enumerate(split):
+            try:
+                out.append(first[parts[0]] + b"".join(map(later, parts[1:])))
+            except TypeError:  # a None among the parts
+                out.append(b"")
+                whole.append(i)
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
+
+
+@cache
+def _encoder(path: str) -> UnitEncoder:
+    """One for all tasks of a worker."""
+    return UnitEncoder(path)
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
@@ -82,7 +100,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = UnitEncoder(tokenizer)
+        encode = _encoder(tokenizer)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
@@ -192,7 +210,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[own] = ways["offset"].to_numpy()[at]
             yield pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    ranked = pieces.join(offsets.select("part", "length", "before"), ["part", "length"])
+    # the offsets grow with the tasks: never broadcast
+    ranked = pieces.join(offsets.select("part", "length", "before").hint("merge"), ["part", "length"])
     found = ranked.withColumn("place", placed("length", F.col("rank") + F.col("before")))
     return found.select(
         *[c for c in pieces.columns if c not in ("part", "rank")], "place.sequence_id", "place.offset"
