@@ -37,7 +37,7 @@ GRAM = 16
 #: Documents from which splitters and the most common strings are learnt.
 SAMPLE_DOCS = 256
 
-_SUFFIX = "k1 long, k2 long, row long, ref long, known byte, bucket int"
+_SUFFIX = "k1 long, k2 long, row long, ref long, tag int"
 
 
 def _window_minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -125,19 +125,19 @@ class Splitters:
         self.known_k1 = np.unique(np.array([a for a, _ in self.known], np.int64))
         self.known_k2 = np.unique(np.array([b for _, b in self.known], np.int64))
 
-    def deal(self, k1: np.ndarray, k2: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What is known of each string, and its bucket: 2 if it repeats, 1 if its k1 does.
+    def deal(self, k1: np.ndarray, k2: np.ndarray, ref: np.ndarray) -> np.ndarray:
+        """Bucket * 4 + what is known of each string: 2 if it repeats, 1 if its k1 does.
 
         Strings that are known to repeat are spread at random.
         """
-        known = np.zeros(len(k1), np.int8)
+        known = np.zeros(len(k1), np.int32)
         if self.known:
             known[_among(self.known_k1, k1)] = 1
             for i in np.flatnonzero((known == 1) & _among(self.known_k2, k2)):
                 if (int(k1[i]), int(k2[i])) in self.known:
                     known[i] = 2
         bucket = np.searchsorted(self.cuts, k1.view(np.uint64), side="right")
-        return known, np.where(known == 2, ref % 65521 % self.buckets, bucket).astype(np.int32)
+        return (np.where(known == 2, ref % 65521 % self.buckets, bucket) * 4 + known).astype(np.int32)
 
 
 def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -160,7 +160,7 @@ def _sampled(docs: DataFrame, keys, limit: int, buckets: int) -> Splitters:
 
 
 def _bucketed(rows: DataFrame, partitions: int) -> DataFrame:
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "k1", "k2")
+    return rows.repartition(partitions, F.shiftright("tag", 2)).sortWithinPartitions("k1", "k2")
 
 
 def _repeats(batches: Iterator[pd.DataFrame], weak: bool) -> Iterator[pd.DataFrame]:
@@ -184,15 +184,16 @@ def _repeats(batches: Iterator[pd.DataFrame], weak: bool) -> Iterator[pd.DataFra
         if last is not None:
             part[0] |= k1[0] == last[0]
             full[0] |= (k1[0], k2[0]) == last
-        part |= rows["known"] > 0
-        full = (full & (k2 != 0)) | (rows["known"] == 2)
+        known = rows["tag"] & 3
+        part |= known > 0
+        full = (full & (k2 != 0)) | (known == 2)
         keep = np.flatnonzero(((part | full) if weak else full)[:n])
         return pd.DataFrame({"k1": k1[keep], "row": rows["row"][keep], "ref": rows["ref"][keep], "full": full[keep]})
 
     for batch in batches:
         if not len(batch):
             continue
-        rows = {c: batch[c].to_numpy() for c in ("k1", "k2", "row", "ref", "known")}
+        rows = {c: batch[c].to_numpy() for c in ("k1", "k2", "row", "ref", "tag")}
         if held is not None:
             rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
         n = len(rows["k1"]) - 1
@@ -231,27 +232,65 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     # equal rows of the input report the same anchors
     near = near.groupBy("row", "ref").agg(F.max("full").alias("full"), F.first("k1").alias("k1"))
 
-    position = F.shiftright("ref", 16)
-    first_window = position - F.shiftright("ref", 8).bitwiseAND(F.lit(255))
-    earlier = Window.partitionBy("row").orderBy("ref").rowsBetween(Window.unboundedPreceding, -1)
-    full_before = F.last(F.when(F.col("full"), position), ignorenulls=True).over(earlier)
-    # two repeated strings that meet, one at or before the first window and one at the anchor, cover all between
-    closed = F.col("full") & (full_before <= first_window) & (position - full_before <= length)
-    near = near.withColumn("open", ~F.coalesce(closed, F.lit(False)))
-    near = stored(near, "suffixes")
-    edges = near.where("open").select("k1").distinct()
-    member = near.join(edges, "k1", "left_semi")
-    member = member.groupBy("row").agg(F.collect_list(F.struct("ref", "open")).alias("anchors"))
+    near = stored(_open_windows(near, length), "suffixes")
+    # the distances from its anchor at which some document needs an answer
+    edges = near.where("open").groupBy("k1").agg(
+        F.min(F.col("at") - F.col("last_open")).alias("least"), F.max(F.col("at") - F.col("first_open")).alias("most")
+    )
+    member = near.join(edges, "k1")
+    member = member.groupBy("row").agg(F.collect_list(F.struct("ref", "open", "least", "most")).alias("anchors"))
 
     whole = _sampled(docs, lambda b: strings(b, np.arange(0, len(b) - length + 1, 7), length), SAMPLE_DOCS, parts)
     between = _edge_rows(long_docs.join(member, "row"), spark.sparkContext.broadcast(whole), length)
     exact = _bucketed(between, parts).mapInPandas(lambda b: _repeats(b, False), _REPEAT)
     # ref of a string at an open anchor is even
     at_edges = exact.where(F.col("ref").bitwiseAND(F.lit(1)) == 0).select("row", F.shiftright("ref", 8).alias("start"))
-    starts = near.where("full").select("row", position.alias("start")).unionByName(at_edges)
+    starts = near.where("full").select("row", F.col("at").alias("start")).unionByName(at_edges)
     return starts.groupBy("row").agg(F.collect_set("start").alias("starts"))
 
 
+def _open_windows(near: DataFrame, length: int, around: int = 8) -> DataFrame:
+    """Adds ``at``, and ``open`` with ``first_open`` and ``last_open``: windows of the anchor still to be judged.
+
+    Strings that start between two repeated ones not more than ``length`` apart cover nothing
+    new. Only ``around`` anchors on either side are looked at, which leaves at worst more
+    windows open.
+    """
+    near = near.withColumn("at", F.shiftright("ref", 16))
+    first = F.col("at") - F.shiftright("ref", 8).bitwiseAND(F.lit(255))
+    last = F.col("at") - F.col("ref").bitwiseAND(F.lit(255))
+    order = Window.partitionBy("row").orderBy("ref")
+    full_at = F.collect_list(F.when(F.col("full"), F.col("at")))
+    near = near.withColumns(
+        {
+            "first": first,
+            "last": last,
+            "behind": full_at.over(order.rowsBetween(-around, 0)),
+            "ahead": full_at.over(order.rowsBetween(0, around)),
+        }
+    )
+    near = near.withColumns(
+        {
+            "left": F.array_max(F.filter("behind", lambda x: x <= F.col("first"))),
+            "low": F.array_min(F.filter("behind", lambda x: x > F.col("first"))),
+            "high": F.array_max(F.filter("behind", lambda x: x > F.col("first"))),
+            "right": F.array_min(F.filter("ahead", lambda x: x >= F.col("last"))),
+        }
+    )
+    meet = lambda a, b: F.coalesce(F.col(b) - F.col(a) <= length, F.lit(False))
+    inner = F.col("low").isNotNull()
+    before = ~F.when(inner, meet("left", "low")).otherwise(meet("left", "right"))
+    after = F.when(inner, (F.col("last") > F.col("high")) & ~meet("high", "right")).otherwise(before)
+    near = near.withColumns(
+        {
+            "first_open": F.when(before | ~inner, F.col("first")).otherwise(F.col("high") + 1),
+            "last_open": F.when(after | ~inner, F.col("last")).otherwise(F.least(F.col("low") - 1, F.col("last"))),
+            "open": before | after,
+        }
+    )
+    return near.select("row", "ref", "k1", "full", "at", "open", "first_open", "last_open")
+
+
 def _suffix_rows(
     spark: SparkSession, docs: DataFrame, splitters: Broadcast, length: int, window: int
 ) -> DataFrame:
@@ -259,15 +298,15 @@ def _suffix_rows(
         for batch in batches:
             for row, text in zip(batch["row"].tolist(), batch["text"], strict=True):
                 k1, k2, ref = suffixes(text.encode("utf-8", "surrogatepass"), length, window)
-                known, bucket = splitters.value.deal(k1, k2, ref)
                 if len(k1):
-                    yield pd.DataFrame({"k1": k1, "k2": k2, "row": row, "ref": ref, "known": known, "bucket": bucket})
+                    tag = splitters.value.deal(k1, k2, ref)
+                    yield pd.DataFrame({"k1": k1, "k2": k2, "row": row, "ref": ref, "tag": tag})
 
     return docs.select("row", "text").mapInPandas(_joined(of), _SUFFIX)
 
 
 def _edge_rows(docs: DataFrame, splitters: Broadcast, length: int) -> DataFrame:
-    """The strings that start in the windows of an anchor, but for the one at the anchor itself."""
+    """The strings at the asked distances before an anchor, as far as they choose it."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -276,8 +315,8 @@ def _edge_rows(docs: DataFrame, splitters: Broadcast, length: int) -> DataFrame:
                 starts, even = [], []
                 for anchor in own:
                     at = anchor["ref"] >> 16
-                    low = at - (anchor["ref"] >> 8 & 255)
-                    high = min(at - (anchor["ref"] & 255) + 1, at, len(data) - length + 1)
+                    low = at - min(anchor["ref"] >> 8 & 255, anchor["most"])
+                    high = min(at - max(anchor["ref"] & 255, anchor["least"]) + 1, at, len(data) - length + 1)
                     if low < high:
                         starts.append(np.arange(low, high))
                         even.append(np.full(high - low, not anchor["open"], np.int64))
@@ -285,10 +324,17 @@ def _edge_rows(docs: DataFrame, splitters: Broadcast, length: int) -> DataFrame:
                     at = np.concatenate(starts)
                     k1, k2 = strings(data, at, length)
                     ref = at * 256 + np.concatenate(even)
-                    known, bucket = splitters.value.deal(k1, k2, ref)
-                    yield pd.DataFrame({"k1": k1, "k2": k2, "row": row, "ref": ref, "known": known, "bucket": bucket})
+                    tag = splitters.value.deal(k1, k2, ref)
+                    yield pd.DataFrame({"k1": k1, "k2": k2, "row": row, "ref": ref, "tag": tag})
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # of strings that need no answer themselves, one in a frame shows the others that there is one
+        for frame in _joined(of, 500_000)(batches):
+            asked = (frame["ref"] & 1) == 0
+            shown = frame[~asked & ((frame["tag"] & 3) != 2)].drop_duplicates(["k1", "k2"])
+            yield pd.concat([frame[asked], shown])
 
-    return docs.select("row", "text", "anchors").mapInPandas(_joined(of), _SUFFIX)
+    return docs.select("row", "text", "anchors").mapInPandas(once, _SUFFIX)
 
 
 def _joined(of, rows: int = 100_000):
