@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import language, packing, simhash, substrings
+from tallyweave.llm import language, packing, quality, simhash, substrings
 from tallyweave.llm.tables import held_out, read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.with_verdict(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return judged.select(*base, "kept", "anomaly")
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
