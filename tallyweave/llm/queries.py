@@ -13,6 +13,12 @@ from tallyweave.llm.tables import held_out, read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = (
+    public_tokenizers.path("byte_bpe_50k.json"),
+    public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    public_tokenizers.PATTERN,
+)
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,7 +42,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """Digest rows of the packing: the ids stay in the written pieces, their crc32 goes on."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.token_pieces(docs, TOKENIZER)
     pieces = stored(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
     return packing.pack(pieces.drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
