@@ -220,7 +220,9 @@ def _spans(starts: np.ndarray, length: int) -> np.ndarray:
 def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
     """``row`` and ``starts``: start positions of repeated strings that together cover all repeated bytes.
 
-    ``docs`` has ``row`` (a key of the id and the text, so that equal rows share it) and ``text``.
+    ``docs`` has ``row`` (a key of the id and the text, so that equal rows share it), ``text`` and
+    ``rest``, which is not looked at: texts are shuffled by ``row`` with it, so that the shuffle
+    can serve the caller's join too.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -230,18 +232,18 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     found = _suffix_rows(spark, long_docs, spark.sparkContext.broadcast(first), length, window)
     near = _bucketed(found, parts).mapInPandas(lambda b: _repeats(b, True), _REPEAT)
     # equal rows of the input report the same anchors
-    near = near.groupBy("row", "ref").agg(F.max("full").alias("full"), F.first("k1").alias("k1"))
+    near = near.repartition(parts, "row").groupBy("row", "ref").agg(F.max("full").alias("full"), F.first("k1").alias("k1"))
 
     near = stored(_open_windows(near, length), "suffixes")
     # the distances from its anchor at which some document needs an answer
     edges = near.where("open").groupBy("k1").agg(
         F.min(F.col("at") - F.col("last_open")).alias("least"), F.max(F.col("at") - F.col("first_open")).alias("most")
     )
-    member = near.join(edges, "k1")
+    member = near.select("k1", "row", "ref", "open").join(edges, "k1")
     member = member.groupBy("row").agg(F.collect_list(F.struct("ref", "open", "least", "most")).alias("anchors"))
 
     whole = _sampled(docs, lambda b: strings(b, np.arange(0, len(b) - length + 1, 7), length), SAMPLE_DOCS, parts)
-    between = _edge_rows(long_docs.join(member, "row"), spark.sparkContext.broadcast(whole), length)
+    between = _edge_rows(docs.join(member, "row"), spark.sparkContext.broadcast(whole), length)
     exact = _bucketed(between, parts).mapInPandas(lambda b: _repeats(b, False), _REPEAT)
     # ref of a string at an open anchor is even
     at_edges = exact.where(F.col("ref").bitwiseAND(F.lit(1)) == 0).select("row", F.shiftright("ref", 8).alias("start"))
@@ -332,9 +334,9 @@ def _edge_rows(docs: DataFrame, splitters: Broadcast, length: int) -> DataFrame:
         for frame in _joined(of, 500_000)(batches):
             asked = (frame["ref"] & 1) == 0
             shown = frame[~asked & ((frame["tag"] & 3) != 2)].drop_duplicates(["k1", "k2"])
-            yield pd.concat([frame[asked], shown])
+            yield pd.concat([frame[asked], shown.assign(row=0, ref=1)])
 
-    return docs.select("row", "text", "anchors").mapInPandas(once, _SUFFIX)
+    return docs.select("row", "text", "rest", "anchors").mapInPandas(once, _SUFFIX)
 
 
 def _joined(of, rows: int = 100_000):
@@ -364,9 +366,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
     on the input, not on what is left, and never cross documents. Texts shorter than ``length``
     keep all bytes. Equal rows are copies of each other like any other documents.
     """
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    texts = keyed.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    starts = repeated_starts(texts, length, window).select(F.col("row").alias("__of"), F.col("starts").alias("__starts"))
+    rest = [c for c in docs.columns if c != "text"]
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text", F.struct(*rest).alias("rest"))
+    starts = repeated_starts(keyed, length, window)
 
     @F.pandas_udf(_CUT)
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -384,5 +386,6 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
                 out.append((len(data), len(data) - len(kept), spans.tolist(), kept))
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "spans", "kept"])
 
-    joined = keyed.join(starts, keyed["__row"] == starts["__of"], "left")
-    return joined.withColumn("cut", cut("text", "__starts")).drop("__row", "__of", "__starts")
+    joined = keyed.join(starts, "row", "left").withColumn("cut", cut("text", "starts"))
+    columns = [F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns]
+    return joined.select(*columns, "cut")
