@@ -206,17 +206,32 @@ def calibrated_limit(scored: DataFrame, labels: DataFrame, bins: int = BINS) ->
     return (len(lost) - 1 - int(np.argmin(np.round(lost[::-1], 12)))) / bins
 
 
+def learnt(counted: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[IsolationForest | None, float]:
+    """Forest and score limit for a written table of doc_id and counts."""
+    forest = learn_forest(counted, labels, fit_rows)
+    return forest, calibrated_limit(stored(counted.withColumn("anomaly", anomaly(forest)), "anomaly"), labels)
+
+
+def _judged(counted: DataFrame, forest: IsolationForest | None, limit: float) -> DataFrame:
+    judged = counted.withColumns({"anomaly": anomaly(forest), "base_failed": base_failed()})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(limit)))
+
+
 def with_verdict(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id with the counts, base_failed, anomaly and kept, for every row of ``docs``.
 
     A null text has no words and fails the base rule. Without labels the base rule decides
-    alone. Repeated rows stay repeated; a null doc_id is judged like any other but never learnt from.
+    alone. Repeated rows stay repeated; a null doc_id is judged like any other but never learnt
+    from. Other columns are ignored.
     """
     counted = docs.select("doc_id", rule_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
     counted = stored(counted, "counts")
-    forest = learn_forest(counted, labels, fit_rows)
-    scored = stored(counted.withColumn("anomaly", anomaly(forest)), "anomaly")
-    limit = calibrated_limit(scored, labels)
-    return scored.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("anomaly") <= F.lit(limit))
-    )
+    return _judged(counted, *learnt(counted, labels, fit_rows))
+
+
+def filtered(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`with_verdict` keeps."""
+    row = F.struct(*docs.columns).alias("row")
+    counted = stored(docs.select(row, rule_counts(F.col("text")).alias("c")).select("row", "c.*"), "counts")
+    forest, limit = learnt(counted.select(F.col("row.doc_id").alias("doc_id"), *_COUNTS), labels, fit_rows)
+    return _judged(counted, forest, limit).where("kept").select("row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import language, packing, quality, simhash, substrings
+from tallyweave.llm import language, packing, passages, quality, simhash, substrings, toxicity
 from tallyweave.llm.tables import held_out, read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*base, "kept", "anomaly")
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = passages.learn(docs, read(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", held_out().alias("held_out"), passages.scored(model, F.col("text")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= passages.CUT).cast("int"))
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
@@ -71,3 +79,11 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("cut.spans").cast("long").alias("n_spans"),
         F.sha2("cut.kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    machine = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    found = docs.select("doc_id", held_out().alias("held_out"), toxicity.scored(machine, F.col("text")).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.tables import shuffle_partitions, stored
@@ -389,3 +389,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) ->
     joined = keyed.join(starts, "row", "left").withColumn("cut", cut("text", "starts"))
     columns = [F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns]
     return joined.select(*columns, "cut")
+
+
+def whole_characters(kept: str) -> Column:
+    """Kept bytes as text; bytes of a character of which a part was removed are left out."""
+
+    @F.pandas_udf("string")
+    def text(data: pd.Series) -> pd.Series:
+        return data.map(lambda d: d.decode("utf-8", "ignore") if d is not None else None)
+
+    return text(F.col(kept))
