@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import language, packing, passages, quality, simhash, substrings, toxicity
+from tallyweave.llm import chat, language, neighbours, packing, passages, quality, simhash, substrings, toxicity
 from tallyweave.llm.tables import held_out, read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_conversations(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op4_chat_formatting"] = chat.ORACLE_SQL
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Digest rows of the packing: the ids stay in the written pieces, their crc32 goes on."""
     pieces = packing.token_pieces(docs, TOKENIZER)
@@ -87,3 +95,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     found = docs.select("doc_id", held_out().alias("held_out"), toxicity.scored(machine, F.col("text")).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
+
+
+@query
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
