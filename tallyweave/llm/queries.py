@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import chat, language, neighbours, packing, passages, quality, simhash, substrings, toxicity
+from tallyweave.llm import chat, language, neighbours, packing, passages, pieces, quality, simhash, substrings, toxicity
 from tallyweave.llm.tables import held_out, read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,11 +56,23 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_chat_formatting"] = chat.ORACLE_SQL
 
 
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = read(spark, sf_dir, "documents").select("doc_id", "text", pieces.encoded(F.col("text"), path).alias("ids"))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (pieces.decoded(F.col("ids"), path) == F.col("text")).alias("round_trip"),
+    )
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Digest rows of the packing: the ids stay in the written pieces, their crc32 goes on."""
-    pieces = packing.token_pieces(docs, TOKENIZER)
-    pieces = stored(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
-    return packing.pack(pieces.drop("ids")).select(
+    tokens = packing.token_pieces(docs, TOKENIZER)
+    tokens = stored(tokens.withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    return packing.pack(tokens.drop("ids")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
 
