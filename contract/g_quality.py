@@ -129,11 +129,11 @@ def g08(spark, sf):
     "g09_structure_check",
     f"SELECT 'vivienda' AS table_name, count(*) AS rows, count(ID_VIV) AS keyed_rows, true AS is_valid, '' AS missing_required, "
     f"'' AS missing_keys, 'CANTON,I01,ID_VIV,tipo_techo' AS extra_columns, 100.0::DOUBLE AS compliance_score FROM {sub('vivienda')} "
-    f"UNION ALL SELECT 'hogar', count(*), count(*), false, 'H01,H1303', '', 'AUR', 50.0 FROM {sub('poblacion')}",
+    f"UNION ALL SELECT 'hogar', count(*), count(*), false, 'H01,H1303', '', 'AUR,ID_HOG,ID_VIV', 50.0 FROM {sub('poblacion')}",
 )
 def g09(spark, sf):
     persons = view(spark, sf, "poblacion").select("ID_VIV", "ID_HOG", "AUR")
-    lacking = quality.structure_check(persons, presets.SCHEMAS["hogar"]).withColumn("extra_columns", F.lit("AUR"))
+    lacking = quality.structure_check(persons, presets.SCHEMAS["hogar"])
     return quality.structure_check(view(spark, sf, "vivienda"), presets.SCHEMAS["vivienda"]).unionByName(lacking)
 
 
