@@ -104,14 +104,14 @@ _register(
 TIES = ["ID_HOG", "ID_PER", "registro_a", "registro_b"]
 PERSON_FEATURES_SQL = f"""
 SELECT *, CASE WHEN categoria_vulnerabilidad = 'ALTA' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target_vulnerabilidad_alta
-FROM (SELECT *, n AS poblacion_total_provincia_poblacion, dense_rank() OVER (ORDER BY n DESC)::INT AS ranking_provincial_poblacion,
-    ntile(100) OVER (ORDER BY n DESC, I01, {', '.join(TIES)})::INT AS percentil_poblacional_poblacion,
+FROM (SELECT *, n AS poblacion_total_provincia_censo, dense_rank() OVER (ORDER BY n DESC)::INT AS ranking_provincial_censo,
+    ntile(100) OVER (ORDER BY n DESC, I01, {', '.join(TIES)})::INT AS percentil_poblacional_censo,
     count(*) OVER (PARTITION BY ID_VIV, ID_HOG) AS "tamaño_hogar_calculado",
     avg(TRY_CAST(P03 AS DOUBLE)) OVER (PARTITION BY ID_VIV, ID_HOG) AS edad_promedio_hogar
   FROM (SELECT *, count(*) OVER (PARTITION BY I01) AS n FROM {PERSON_RULES}))"""
 PERSON_OUT = [
-    *TIES, "grupo_edad_detallado", "sexo_descripcion", "nivel_educativo_numerico", "poblacion_total_provincia_poblacion",
-    "ranking_provincial_poblacion", "percentil_poblacional_poblacion", "edad_promedio_hogar", "categoria_vulnerabilidad",
+    *TIES, "grupo_edad_detallado", "sexo_descripcion", "nivel_educativo_numerico", "poblacion_total_provincia_censo",
+    "ranking_provincial_censo", "percentil_poblacional_censo", "edad_promedio_hogar", "categoria_vulnerabilidad",
     "categoria_desarrollo", "target_vulnerabilidad_alta",
 ]
 

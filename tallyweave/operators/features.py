@@ -204,7 +204,7 @@ def table_features(
     source = df.columns
     tie_break = tie_break or [c for c in presets.ID_COLUMNS.get(table, []) if c in source] or source
     # group values first: they move the rows, and the source columns are the fewest to move
-    grouped = geographic_aggregates(df, table, tie_break) if province_values else df
+    grouped = geographic_aggregates(df, "censo" if is_census(table) else "enemdu", tie_break) if province_values else df
     if household_values and table == "poblacion":
         grouped = household_aggregates(grouped, age=age)
     ruled = education_features(sex_features(age_features(grouped, age), sex), source)
