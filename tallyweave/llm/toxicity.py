@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.tables import chunks, labelled_sample
+from tallyweave.llm.tables import chunks, held_out, labelled_sample
 
 #: Characters of a subsequence.
 ORDER = 4
@@ -34,11 +34,15 @@ DECAY = 0.7
 SPAN = 6
 #: Labelled documents of each class that training may read.
 FIT_DOCS = 2500
-LANDMARKS = 320
+LANDMARKS = 800
 NEGATIVE_WORDS = 9_000
 #: Non-toxic words with the highest margins that join the negatives after each round.
 MINED_WORDS = 3_000
 ROUNDS = 4
+#: Weight of errors against large weights. More follows labels that no word explains, less misses rare insults.
+COST = 1e4
+#: One in so many training documents is kept from a second machine, whose margins on them set the probabilities.
+LINE_PART = 3
 CUT = 0.5
 #: Characters of a string; longer words are cut into overlapping strings.
 LONGEST = 64
@@ -140,7 +144,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def support_vectors(
-    x: np.ndarray, y: np.ndarray, count: np.ndarray, cost: float = 1e5, steps: int = 30
+    x: np.ndarray, y: np.ndarray, count: np.ndarray, cost: float = COST, steps: int = 30
 ) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps in the primal.
 
@@ -186,11 +190,9 @@ def _strings(word: str) -> list[str]:
     return [word[a : a + LONGEST] for a in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
-def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, negatives: int = NEGATIVE_WORDS) -> WordMachine:
-    """From labelled texts, of both classes."""
+def _fitted(seen: list[list[str]], toxic: np.ndarray, landmarks: int, negatives: int) -> WordMachine:
+    """Machine from the words of each document, of both classes; its line is still plain."""
     rng = np.random.default_rng(37)
-    sentences = [[[w for v in s for w in _strings(v)] for s in sentences_of(t)] for t in texts]
-    seen = [sorted({w for s in own for w in s}) for own in sentences]
     bad, good = Counter(), Counter()
     for words, label in zip(seen, toxic, strict=True):
         (bad if label else good).update(words)
@@ -225,22 +227,66 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, negat
         mined = sorted({clean[i] for i in np.argsort(-margins, kind="stable")[:MINED_WORDS]}.difference(negative))
         negative = negative + mined
         x_negative = np.concatenate([x_negative, kernel(mined, chosen) @ root])
-    top = np.array([machine.margins(words).max() if words else machine.bias for words in seen])
-    slope, shift = 1.0, 0.0
-    for _ in range(2000):  # logistic line over the documents' worst margins, classes weighed alike
-        p = 1 / (1 + np.exp(-np.clip(slope * top + shift, -50, 50)))
-        d = (p - toxic) * np.where(toxic > 0, 0.5 / n_bad, 0.5 / n_good)
-        slope -= 2.0 * float((d * top).sum())
-        shift -= 2.0 * float(d.sum())
-    return WordMachine(weights, b, slope, shift)
+    return machine
+
+
+def _line(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic line over the documents' worst margins, by Newton steps.
+
+    Targets are drawn in by one row of each class, which keeps the line finite where a cut parts the classes.
+    """
+    n_bad, n_good = (toxic > 0).sum(), (toxic <= 0).sum()
+    target = np.where(toxic > 0, (n_bad + 1) / (n_bad + 2), 1 / (n_good + 2))
+    x = np.stack([top, np.ones(len(top))], axis=1)
+    line = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ line, -50, 50)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (target - p) - 1e-6 * line)
+        line = line + step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(line[0]), float(line[1])
+
+
+def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, negatives: int = NEGATIVE_WORDS) -> WordMachine:
+    """From labelled texts, of both classes.
+
+    Margins of documents that a machine was trained on lie further apart than those of new ones,
+    so the line comes from documents that a second machine has not seen. With too few of
+    them to leave both classes on both sides, it comes from the training documents.
+    """
+    seen = [sorted({w for s in sentences_of(t) for v in s for w in _strings(v)}) for t in texts]
+    machine = _fitted(seen, toxic, landmarks, negatives)
+    apart = np.zeros(len(texts), bool)
+    for value in (0, 1):
+        apart[np.flatnonzero(toxic == value)[::LINE_PART]] = True
+    other = machine
+    if len(set(toxic[apart])) == len(set(toxic[~apart])) == 2:
+        other = _fitted([w for w, out in zip(seen, apart, strict=True) if not out], toxic[~apart], landmarks, negatives)
+    else:
+        apart[:] = True
+    judged = [w for w, out in zip(seen, apart, strict=True) if out]
+    top = np.array([other.margins(words).max() if words else other.bias for words in judged])
+    machine.slope, machine.shift = _line(top, toxic[apart])
+    return machine
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = FIT_DOCS) -> WordMachine | None:
-    """Trained on at most ``limit`` labelled, not held-out documents of each class; None without both classes."""
+    """Trained on at most ``limit`` labelled, not held-out documents of each class; None without both classes.
+
+    The limit may thin out one class more than the other: the line's shift is set back by the
+    shares of the classes among all labels.
+    """
     rows = labelled_sample(docs, labels, label, limit).toPandas().sort_values(["doc_id", "label"])
     if rows["label"].nunique() < 2:
         return None
-    return train(rows["text"].tolist(), rows["label"].to_numpy(np.int64))
+    machine = train(rows["text"].tolist(), rows["label"].to_numpy(np.int64))
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out())
+    bad, good = known.agg(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).first()
+    own_bad, own_good = (rows["label"] == 1).sum(), (rows["label"] == 0).sum()
+    machine.shift += float(np.log(max(bad, 1) * own_good / (max(good, 1) * own_bad)))
+    return machine
 
 
 def scored(machine: WordMachine | None, text: Column) -> Column:
