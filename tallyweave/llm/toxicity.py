@@ -151,7 +151,8 @@ def support_vectors(
     A row weighs as ``count`` says, and both classes weigh the same.
     """
     share = count * np.where(y > 0, 0.5 / max(count[y > 0].sum(), 1), 0.5 / max(count[y < 0].sum(), 1))
-    x = np.concatenate([x.astype(np.float64), np.ones((len(x), 1))], axis=1)
+    rows, x = x, np.ones((len(x), x.shape[1] + 1))
+    x[:, :-1] = rows
     plain = np.eye(x.shape[1])
     plain[-1, -1] = 1e-6  # the bias is hardly held
     w, before = np.zeros(x.shape[1]), None
@@ -204,7 +205,8 @@ def _fitted(seen: list[list[str]], toxic: np.ndarray, landmarks: int, negatives:
     chosen = list(dict.fromkeys(worst[: landmarks - len(other)] + other))
     values, vectors = np.linalg.eigh(kernel(chosen, chosen).astype(np.float64))
     keep = values > 1e-4 * max(values.max(), 1e-9)
-    root = vectors[:, keep] / np.sqrt(values[keep])  # Nystroem map: kernel with landmarks times this
+    # Nystroem map: kernel with landmarks times this; in single precision, as the rows are many
+    root = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
     negative = clean[: negatives // 2] + rng.permutation(clean[negatives // 2 :])[: negatives // 2].tolist()
     x_negative = kernel(negative, chosen) @ root
     toxic_words = [words for words, t in zip(seen, toxic, strict=True) if t and words]
