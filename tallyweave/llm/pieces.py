@@ -25,7 +25,11 @@ from tallyweave.llm.tables import chunks
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-REMEMBERED = 1 << 19
+#: Words, and pairs of pieces, that fill a worker's memory; those not met since it last filled are then forgotten.
+REMEMBERED = 1 << 17
+#: Characters of the texts whose new words are looked up at once, and of the words that advance together.
+CHUNK_CHARS = 1 << 21
+TOGETHER = 1 << 18
 UNKNOWN = -1
 _NONE = -2
 
@@ -41,13 +45,16 @@ class PieceModel:
         self.ids = {self.text[i]: i for i in usual}
         self.score = {self.text[i]: model.get_score(i) for i in usual}
         self.byte = {int(self.text[i][3:5], 16): i for i in range(self.size) if model.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.byte.items()}
+        byte_of = {i: b for b, i in self.byte.items()}
+        self.raw = [bytes([byte_of[i]]) if i in byte_of else p.encode("utf-8") for i, p in enumerate(self.text)]
         self.longest = max(map(len, self.ids))
         keys = np.array([self._hash(p) for p in self.ids], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()))[order]
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.fits_before: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -70,11 +77,15 @@ class PieceModel:
 
     def _goes(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may follow the one before it (UNKNOWN: a character that is no piece)."""
+        if len(self.fits) > REMEMBERED:
+            self.fits_before, self.fits = self.fits, {}
         code = (before + 2) * (self.size + 2) + piece
         pairs, back = np.unique(code, return_inverse=True)
         out = np.empty(len(pairs), bool)
         for i, c in enumerate(pairs.tolist()):
             fit = self.fits.get(c)
+            if fit is None:
+                fit = self.fits[c] = self.fits_before.get(c)
             if fit is None:
                 a, b = c // (self.size + 2) - 2, c % (self.size + 2)
                 left = [self.text[a]] if a >= 0 else []
@@ -83,8 +94,8 @@ class PieceModel:
             out[i] = fit
         return out[back]
 
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length; UNKNOWN for a character that is no piece."""
+    def _viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length as 32-bit integers; a character that is no piece gives its bytes."""
         n, length = len(words), len(words[0])
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
         with np.errstate(over="ignore"):
@@ -120,29 +131,34 @@ class PieceModel:
             while i:
                 own = last[r, i]
                 if own == UNKNOWN:
-                    ids[:0] = [self.byte[b] for b in word[i - 1].encode("utf-8", "surrogatepass")]
+                    ids += [self.byte[b] for b in reversed(word[i - 1].encode("utf-8", "surrogatepass"))]
                 else:
-                    ids.insert(0, int(own))
+                    ids.append(int(own))
                 i -= int(step[r, i]) or i
-            out.append(ids)
+            out.append(np.array(ids[::-1], np.int32).tobytes())
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
         units = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known_before, self.known = self.known, {}
         by: dict[int, list[str]] = {}
         for word in {w for own in units for w in own}.difference(self.known):
-            by.setdefault(len(word), []).append(word)
+            if (ids := self.known_before.get(word)) is None:
+                by.setdefault(len(word), []).append(word)
+            else:
+                self.known[word] = ids
         for own in by.values():
-            for at in range(0, len(own), 4096):
-                self.known.update(zip(own[at : at + 4096], self._viterbi(own[at : at + 4096]), strict=True))
-        return [[i for w in own for i in self.known[w]] for own in units]
+            size = max(1, TOGETHER // len(own[0]))
+            for at in range(0, len(own), size):
+                self.known.update(zip(own[at : at + size], self._viterbi(own[at : at + size]), strict=True))
+        return [np.frombuffer(b"".join([self.known[w] for w in own]), np.int32) for own in units]
 
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(
-            bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode("utf-8") for i in ids
-        )
+        data = b"".join([self.raw[i] for i in ids])
         text = data.decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text.removeprefix(" ")
 
@@ -159,10 +175,10 @@ def encoded(text: Column, path: str) -> Column:
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out: list = []
-            for part in chunks([t or "" for t in batch]):
-                out += _model(path).encode(part)
-            yield pd.Series([ids if t is not None else None for ids, t in zip(out, batch, strict=True)], dtype=object)
+            null = iter(batch.isna().tolist())
+            for part in chunks([t or "" for t in batch], CHUNK_CHARS):
+                # rows go on by the chunk, so that the ids of a batch are never held together
+                yield pd.Series([None if next(null) else ids for ids in _model(path).encode_arrays(part)], dtype=object)
 
     return encode(text)
 
@@ -172,6 +188,6 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("string")
     def decode(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: _model(path).decode(list(x)) if x is not None else None)
+        return batch.map(lambda x: _model(path).decode(x.tolist()) if x is not None else None)
 
     return decode(ids)
