@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contract.census import CANTON_LOOKUP, age_rules, dictionaries, region_rules, sub, view, views
+from contract.census import CANTON_LOOKUP, age_rules, dictionaries, region_rules, sex_rules, sub, view, views
 from contract.i_features import CENSUS_TARGETS, SURVEY_TARGETS
 from contract.registry import query
 from tallyweave.operators import features, geo, quality
@@ -96,23 +96,40 @@ def j02(spark, sf):
 def _metrics_sql(name: str, base: str, columns: int, nullable: list[str], provinces: str, flags: int, targets: str) -> str:
     nulls = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in nullable)
     return f"""SELECT '{name}' AS table_name, count(*) AS record_count, {columns} AS column_count,
-    ({nulls}) * 100.0::DOUBLE / (count(*) * {columns}) AS null_percentage, {provinces}::BIGINT AS geographic_coverage,
+    ({nulls}) * 100.0::DOUBLE / (count(*) * {columns}) AS null_percentage,
+    (count(*) - count(DISTINCT concat_ws('|', idVivienda, idHogar, idPersona))) * 100.0::DOUBLE / count(*) AS duplicate_percentage,
+    {provinces}::BIGINT AS geographic_coverage,
     {flags} AS feature_count, '{targets}' AS target_variables FROM ({base})"""
 
 
+def _scored_sql(metrics: str) -> str:
+    return f"""SELECT *, round(greatest(0, 100 - null_percentage * 2) * 0.3::DOUBLE
+    + greatest(0, 100 - duplicate_percentage * 5) * 0.4::DOUBLE + least(100, geographic_coverage * 4) * 0.2::DOUBLE
+    + least(100, feature_count * 2) * 0.1::DOUBLE, 1) AS data_quality_score FROM ({metrics})"""
+
+
 @query(
     "j03_master_tables",
-    _metrics_sql("censo_master", CENSUS_BASE_SQL, 18, ["edad", "sexoCodigo", "nivel_instruccion", "tipo_techo"], "0", 4, "")
-    + " UNION ALL "
-    + _metrics_sql(
-        "enemdu_master", SURVEY_BASE_SQL, 11, ["ingresoLaboral"], "0", 0, "target_empleo_formal,target_ingresos_suficientes"
+    _scored_sql(
+        _metrics_sql(
+            "censo_master",
+            CENSUS_BASE_SQL,
+            18,
+            ["edad", "sexoCodigo", "nivel_instruccion", "tipo_techo"],
+            "count(DISTINCT provinciaCodigo)",
+            4,
+            "",
+        )
+        + " UNION ALL "
+        + _metrics_sql(
+            "enemdu_master", SURVEY_BASE_SQL, 11, ["ingresoLaboral"], "0", 0, "target_empleo_formal,target_ingresos_suficientes"
+        )
     ),
 )
 def j03(spark, sf):
     tables = _census_inputs(spark, sf) | _survey_inputs(spark, sf)
     tables["poblacion"] = features.age_features(tables["poblacion"])
-    metrics = quality.all_wide_table_metrics(master_tables(tables))
-    return metrics.drop("duplicate_percentage", "data_quality_score")
+    return quality.all_wide_table_metrics(master_tables(tables))
 
 
 def silver_run(spark, sf):
@@ -142,18 +159,19 @@ def j04(spark, sf):
 
 @query(
     "j04_silver_survey",
-    f"""SELECT k.parroquiaNombre IS NOT NULL AS localizado, sexo_texto, count(*) AS personas, sum(target_empleo_formal) AS formales,
-    sum(target_ingresos_suficientes) AS suficientes
-    FROM (SELECT *, CASE p02 WHEN '1' THEN 'Hombre' ELSE p02 END AS sexo_texto FROM {SURVEY_TARGETS}) p
+    f"""SELECT k.parroquiaNombre IS NOT NULL AS localizado, sexo_texto, sexo_descripcion, grupo_edad_detallado, count(*) AS personas,
+    sum(es_poblacion_activa)::BIGINT AS activos, sum(target_empleo_formal) AS formales, sum(target_ingresos_suficientes) AS suficientes
+    FROM (SELECT *, {age_rules('TRY_CAST(p03 AS INT)')}, {sex_rules('p02')}, CASE p02 WHEN '1' THEN 'Hombre' ELSE p02 END AS sexo_texto FROM {SURVEY_TARGETS}) p
     JOIN {sub('enemdu_vivienda')} v ON p.id_vivienda = v.id_vivienda AND p.id_hogar = v.id_hogar
     LEFT JOIN (SELECT DISTINCT lpad(CODIGO::VARCHAR, 6, '0') AS c, NOMBRE AS parroquiaNombre FROM {sub('dict_parroquia')}) k
-    ON lpad(p.ciudad, 6, '0') = k.c GROUP BY 1, 2""",
+    ON lpad(p.ciudad, 6, '0') = k.c GROUP BY 1, 2, 3, 4""",
 )
 def j04b(spark, sf):
     wide = silver_run(spark, sf).tables["enemdu_master"]
     located = F.col("provinciaNombre").isNotNull().alias("localizado")
-    return wide.groupBy(located, "sexo_texto").agg(
+    return wide.groupBy(located, "sexo_texto", "sexo_descripcion", "grupo_edad_detallado").agg(
         F.count("*").alias("personas"),
+        F.sum("es_poblacion_activa").alias("activos"),
         F.sum("target_empleo_formal").alias("formales"),
         F.sum("target_ingresos_suficientes").alias("suficientes"),
     )

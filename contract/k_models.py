@@ -9,7 +9,7 @@ from contract.registry import query, table
 from tallyweave.operators import features, geo, models, trials
 from tallyweave.plans.medallion import run_all, run_gold, run_silver
 from tallyweave.plans.master import survey_master
-from tallyweave.sources.workspace import new_path
+from tallyweave.sources.workspace import new_path, stored
 
 FEATURES = ["h", "monto", "edad", "prioridad", "mayor"]
 KEYS = ["o_orderkey"]
@@ -103,8 +103,11 @@ query("k09_logistic_regression")(_trained("LogisticRegression"))
 def k10(spark, sf):
     """Scored test rows of an assembled pipeline."""
     split = _split(spark, sf)
-    model = models.model_pipeline(split.train, split.features, "LogisticRegression").fit(split.train)
-    return model.transform(split.test).groupBy("label", "prediction").agg(F.count("*").alias("rows"))
+    try:
+        model = models.model_pipeline(split.train, split.features, "LogisticRegression").fit(split.train)
+        return stored(model.transform(split.test).groupBy("label", "prediction").agg(F.count("*").alias("rows")))
+    finally:
+        split.release()
 
 
 @query(
@@ -165,9 +168,10 @@ def _tuning(spark, sf):
 def _search(spark, sf, model_type):
     split = _tuning(spark, sf)
     flow = models.model_pipeline(split.train, split.features, model_type, "tuned")
-    search = models.tuned(flow, split.train, model_type)
-    split.release()
-    return search
+    try:
+        return models.tuned(flow, split.train, model_type, fold="fold_place")
+    finally:
+        split.release()
 
 
 @query("k14_k15_grid_search")
@@ -209,11 +213,15 @@ def _survey_wide(spark, sf):
 def k17b(spark, sf):
     """Two models over the same rows: rows stay as many as they were, per label and vote."""
     split = _split(spark, sf)
-    ensemble = models.fit_ensemble(split.train, split.features)
-    scored = ensemble.score(split.test)
-    return scored.groupBy("label", "ensemble_prediction").agg(
-        F.count("*").alias("rows"), F.avg("ensemble_probability").alias("mean_probability")
-    )
+    try:
+        scored = models.fit_ensemble(split.train, split.features).score(split.test)
+        return stored(
+            scored.groupBy("label", "ensemble_prediction").agg(
+                F.count("*").alias("rows"), F.avg("ensemble_probability").alias("mean_probability")
+            )
+        )
+    finally:
+        split.release()
 
 
 def _experiments(make):
@@ -286,14 +294,12 @@ def k24(spark, sf):
 
 @query("k25_gold_run")
 def k25(spark, sf):
-    """Every experiment over the survey wide table as the silver layer wrote it."""
+    """Every experiment over both wide tables as the silver layer wrote them."""
     folder = new_path(spark, "silver")
-    run_silver(spark, views(spark, sf, ["enemdu_personas", "enemdu_vivienda", *DICTIONARIES]), folder, age="p03", sex="p02")
-    return run_gold(spark, folder, trials.TrialSettings(estimators=SHORT))
+    run_silver(spark, views(spark, sf), folder)
+    return run_gold(spark, folder, trials.TrialSettings())
 
 
-# fewer rounds than the presets, for the runs that train ten and twenty models
-SHORT = {m: {"maxIter": 5} for m in ("GradientBoosting", "LogisticRegression")} | {"RandomForest": {"numTrees": 5}}
 DICTIONARIES = ["dict_provincia", "dict_canton", "dict_parroquia", "dict_censo", "dict_enemdu"]
 
 
@@ -304,7 +310,7 @@ def j05(spark, sf):
     for name, df in views(spark, sf).items():
         df.write.parquet(f"{bronze}/{name.removeprefix('dict_')}.parquet")
     run = run_all(
-        spark, bronze, silver, trials.TrialSettings(estimators=SHORT), [d.removeprefix("dict_") for d in DICTIONARIES]
+        spark, bronze, silver, trials.TrialSettings(), [d.removeprefix("dict_") for d in DICTIONARIES]
     )
     loads = run.loads.select(F.lit("bronze").alias("layer"), "table_name", "success", "rows")
     masters = run.silver.metrics.select(

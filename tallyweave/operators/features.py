@@ -190,18 +190,21 @@ def table_features(
     df: DataFrame,
     table: str,
     tie_break: list[str] | None = None,
-    age: str = "P03",
-    sex: str = "P02",
+    age: str | None = None,
+    sex: str | None = None,
     province_values: bool = True,
     household_values: bool = True,
 ) -> DataFrame:
     """All features of one table: person rules, group values, indices, then targets.
 
+    ``age`` and ``sex`` name the columns of a table that are not the usual ones of that table.
     ``province_values=False`` leaves out the province totals, ranks and percentiles, which
     sort the whole table, and ``household_values=False`` the values of the household, which
     shuffle it, for callers that do not use them or add them elsewhere.
     """
     source = df.columns
+    usual = presets.AGE_SEX_COLUMNS_BY_TABLE.get(table, presets.AGE_SEX_COLUMNS)
+    age, sex = age or usual[0], sex or usual[1]
     tie_break = tie_break or [c for c in presets.ID_COLUMNS.get(table, []) if c in source] or source
     # group values first: they move the rows, and the source columns are the fewest to move
     grouped = geographic_aggregates(df, "censo" if is_census(table) else "enemdu", tie_break) if province_values else df

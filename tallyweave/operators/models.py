@@ -147,9 +147,32 @@ def sources_of(target: str) -> set[str]:
     return found
 
 
+def _source_name(column: str) -> str:
+    """One name for a source column, whether a table calls it by its old name, its new one or by another term."""
+    name = (presets.CENSUS_PERSON_COLUMNS | presets.SURVEY_PERSON_COLUMNS).get(column, column)
+    for source, terms in presets.SOURCE_TERMS.items():
+        if containing([name], terms):
+            return source
+    return name
+
+
+def leaf_sources(column: str) -> set[str]:
+    """The source columns that a column is made from in the end; a source column is its own."""
+    entries = {name: cols for name, _, cols, *_ in presets.FEATURES}
+    if column not in entries:
+        return {_source_name(column)}
+    sources = [*entries[column], *presets.FURTHER_SOURCES.get(column, [])]
+    return set().union(*[leaf_sources(c) for c in sources])
+
+
 def _usable(columns: Sequence[str], target: str | None) -> list[str]:
-    leaking = sources_of(target) if target else set()
-    return [c for c in columns if not c.startswith("target_") and c not in leaking]
+    """Columns that are no target, no row key and share no source with the target."""
+    leaking = leaf_sources(target) if target else set()
+    return [
+        c
+        for c in columns
+        if not c.startswith("target_") and c not in presets.WIDE_TABLE_KEYS and not leaf_sources(c) & leaking
+    ]
 
 
 def benchmark_features(df: DataFrame, target: str | None = None) -> list[str]:
@@ -159,7 +182,7 @@ def benchmark_features(df: DataFrame, target: str | None = None) -> list[str]:
 
 
 def baseline_features(df: DataFrame, target: str | None = None) -> list[str]:
-    return containing(_usable(df.columns, target), presets.BASELINE_FEATURES, exclude=["_hogar", "grupo_"])
+    return containing(_usable(df.columns, target), presets.BASELINE_FEATURES)
 
 
 def automated_features(df: DataFrame, target: str | None = None) -> list[str]:
@@ -174,7 +197,8 @@ def ensemble_features(df: DataFrame, target: str | None = None) -> list[str]:
 
 def relevant_features(df: DataFrame, target: str) -> list[str]:
     """Up to ten derived and five other columns, without keys, codes and targets."""
-    columns = [c for c in _usable(df.columns, target) if not any(p in c for p in presets.EXCLUDED_FEATURES)]
+    excluded = [*presets.EXCLUDED_FEATURES, presets.CODE_SUFFIX]
+    columns = [c for c in _usable(df.columns, target) if not any(p in c for p in excluded)]
     first = starting(columns, presets.PRIORITY_FEATURES)
     rest = [c for c in columns if c not in first]
     return first[: presets.PRIORITY_FEATURE_LIMIT] + rest[: presets.SECONDARY_FEATURE_LIMIT]
@@ -239,10 +263,24 @@ def accuracy_evaluator(prediction: str = "prediction") -> MulticlassClassificati
 
 
 def tuned(
-    pipeline: Pipeline, train: DataFrame, model_type: str, grids: Mapping = GRIDS, folds: int = 3, parallelism: int = 2
+    pipeline: Pipeline,
+    train: DataFrame,
+    model_type: str,
+    grids: Mapping = GRIDS,
+    folds: int = 3,
+    parallelism: int = 2,
+    fold: str | None = None,
 ) -> CrossValidatorModel:
-    """Grid search by cross-validated AUC."""
+    """Grid search by cross-validated AUC.
+
+    ``fold`` names a column with a number in [0, 1) for each row, such as ``unit_hash`` gives;
+    with it the folds are the same however the rows lie.
+    """
     cuts_lineage(train.sparkSession)
+    own = {}
+    if fold:
+        own["foldCol"] = "cv_fold"
+        train = train.withColumn("cv_fold", F.least(F.floor(F.col(fold) * folds), F.lit(folds - 1)).cast("int"))
     search = CrossValidator(
         estimator=pipeline,
         estimatorParamMaps=parameter_grid(pipeline, model_type, grids),
@@ -250,6 +288,7 @@ def tuned(
         numFolds=folds,
         seed=presets.SEED,
         parallelism=parallelism,
+        **own,
     )
     return search.fit(train)
 

@@ -372,21 +372,28 @@ def overall_score(checks: DataFrame) -> DataFrame:
 def wide_table_metrics(
     df: DataFrame, table: str, keys: list[str] | None = None, province: str | None = None
 ) -> DataFrame:
-    """One row of integrity metrics of a wide table, in one pass.
+    """One row of integrity metrics of a wide table.
 
-    ``keys`` and ``province`` name the columns to check where the table has renamed them.
+    The nulls of a row are added up before they are aggregated; distinct keys and provinces
+    are counted in passes that read their own columns only. ``keys`` and ``province`` name the
+    columns to check; by default those of a wide table, else those of its source table.
     """
     census = "censo" in table.lower() or table in presets.REQUIRED_TABLES
     default = presets.ID_COLUMNS["poblacion" if census else "enemdu_personas"]
-    keys = present(df, keys or default)
-    province = province or first_present(df, presets.PROVINCE_COVERAGE_COLUMNS)
+    keys = present(df, keys) if keys else present(df, presets.WIDE_TABLE_KEYS) or present(df, default)
+    province = province or first_present(df, [*presets.WIDE_TABLE_PROVINCE, *presets.PROVINCE_COVERAGE_COLUMNS])
     features = starting(df.columns, presets.FEATURE_NAME_PREFIXES)
     targets = starting(df.columns, ["target_"])
-    rows = F.count("*")
-    nulls = reduce(add, _null_counts(df))
-    distinct = F.count_distinct(F.struct(*[quoted(k) for k in keys])) if keys else rows
-    provinces = F.count_distinct(F.struct(quoted(province))) if province else F.lit(0).cast("long")
-    out = df.agg(
+    empty = reduce(add, [F.col(quoted(c)).isNull().cast("long") for c in df.columns])
+    passes = [df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(empty), F.lit(0)).alias("nulls"))]
+    for name, chosen in (("keys", keys), ("provinces", [province] if province else [])):
+        if chosen:
+            passes.append(df.select(*map(quoted, chosen)).distinct().agg(F.count("*").alias(name)))
+    counts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), passes)
+    rows, nulls = F.max("rows"), F.max("nulls")
+    distinct = F.max("keys") if keys else rows
+    provinces = F.max("provinces") if province else F.lit(0).cast("long")
+    out = counts.agg(
         F.lit(table).alias("table_name"),
         rows.alias("record_count"),
         F.lit(len(df.columns)).alias("column_count"),

@@ -107,6 +107,10 @@ AGE_ECONOMIC = [("DEPENDIENTE_MENOR", 15), ("POBLACION_ACTIVA", 65)]
 AGE_ECONOMIC_DEFAULT = "DEPENDIENTE_MAYOR"
 WORKING_AGE = (15, 65)
 
+# age and sex columns by table; other tables use the first pair
+AGE_SEX_COLUMNS = ("P03", "P02")
+AGE_SEX_COLUMNS_BY_TABLE = {"enemdu_personas": ("p03", "p02")}
+
 # label, inclusive lower and exclusive upper age
 AGE_BANDS = [
     ("MENOR_15", 0, 15),
@@ -330,6 +334,10 @@ SURVEY_PERSON_FEATURES = [
 SURVEY_DWELLING_COLUMNS = {"vi01": "tipoViviendaEnemdu", "vi02": "materialParedesEnemdu"}
 SURVEY_DWELLING_FEATURES = ["tipo", "material", "agua", "servicio"]
 
+# keys and province columns of the wide tables, by their new names
+WIDE_TABLE_KEYS = ["idVivienda", "idHogar", "idPersona"]
+WIDE_TABLE_PROVINCE = ["provinciaCodigo", "provinciaNombre"]
+
 # wide table -> candidate partition columns, and clustering columns
 PARTITION_CANDIDATES = {
     "censo_master": ["I01", "provinciaCodigo", "codigo_provincia_2d"],
@@ -355,6 +363,16 @@ ENSEMBLE_FEATURES = [
     (["indice_", "categoria_", "nivel_"], 4),
 ]
 EXCLUDED_FEATURES = ["target_", "id_", "ID_", "codigo_", "_codigo", "timestamp"]
+CODE_SUFFIX = "Codigo"
+# what an index takes in beside the sources its catalog entry names
+FURTHER_SOURCES = {"indice_vulnerabilidad_compuesto": ["ocupacion"]}
+# source -> terms in the names of the columns that hold it
+SOURCE_TERMS = {
+    "educacion": EDUCATION_COLUMN_TERMS,
+    "ocupacion": EMPLOYMENT_COLUMN_TERMS,
+    "parentesco": KINSHIP_COLUMN_TERMS,
+    "ingreso": INCOME_COLUMN_TERMS,
+}
 PRIORITY_FEATURES = ["grupo_", "es_", "tiene_", "indice_", "categoria_", "nivel_"]
 PRIORITY_FEATURE_LIMIT = 10
 SECONDARY_FEATURE_LIMIT = 5

@@ -90,6 +90,39 @@ def test_leaking_features_are_left_out():
     assert models.sources_of("target_area_urbana") == {"es_urbano", "AUR"}
 
 
+@pytest.mark.parametrize("target", [f[0] for f in models.presets.FEATURES if f[0].startswith("target_")])
+def test_chosen_features_hold_no_key_and_no_source_of_the_target(wide, target):
+    names = [*models.presets.CENSUS_PERSON_COLUMNS.values(), "ingresoLaboral", "horasTrabajadasSemana", "nivel_instruccion",
+             "ocupacion", "parentesco", *[f[0] for f in models.presets.FEATURES]]
+    df = wide.sparkSession.createDataFrame([], ", ".join(f"`{n}` string" for n in dict.fromkeys(names)))
+    keys = set(models.presets.WIDE_TABLE_KEYS)
+    forbidden = {
+        "target_vulnerabilidad_alta": {"edad", "es_poblacion_activa", "nivel_educativo_numerico", "ocupacion", "categoria_desarrollo"},
+        "target_educacion_superior": {"nivel_instruccion", "nivel_educativo_numerico", "indice_vulnerabilidad_compuesto"},
+        "target_jefe_hogar": {"parentesco"},
+        "target_area_urbana": {"es_urbano", "indice_desarrollo_compuesto"},
+        "target_area_urbana_enemdu": {"es_urbano", "indice_desarrollo_compuesto"},
+        "target_empleo_formal": {"ocupacion", "categoria_vulnerabilidad", "indice_vulnerabilidad_compuesto"},
+        "target_ingresos_suficientes": {"ingresoLaboral"},
+    }[target]
+    for choose in (models.benchmark_features, models.baseline_features, models.automated_features, models.ensemble_features, models.relevant_features):
+        chosen = set(choose(df, target))
+        assert not chosen & (keys | forbidden) and not any(c.startswith("target_") for c in chosen)
+    assert "sexoCodigo" not in models.relevant_features(df, target)
+
+
+def test_folds_do_not_depend_on_the_order_of_rows(wide):
+    def found(df):
+        split = trials.split_data(df, "target_jefe_hogar", ["edad", "es_urbano"], trials.TrialSettings())
+        try:
+            flow = models.model_pipeline(split.train, split.features, "LogisticRegression", SMALL)
+            return models.tuned(flow, split.train, "LogisticRegression", GRID, 2, fold="fold_place").avgMetrics
+        finally:
+            split.release()
+
+    assert found(wide) == pytest.approx(found(wide.repartition(5, "edad")), abs=1e-9)
+
+
 def test_trials(wide):
     settings = trials.TrialSettings(estimators=SMALL)
     for rows, size in (
