@@ -8,9 +8,10 @@ kernel value is divided by the greatest value that strings of these lengths allo
 A sentence is judged by its worst word, a document by its worst sentence. The machine is
 trained on sentences: every word of a sentence from a non-toxic document is a negative
 string, and a sentence of a toxic document has at least one positive string, the one that the
-machine so far finds worst (multiple-instance support vectors). Landmarks are words of the
-training sentences. A trained machine is linear in the subsequences, so words are scored
-with one table of subsequence weights.
+machine so far finds worst (multiple-instance support vectors). A word of both classes is positive
+if it is surely oftener toxic than clean, and then never a negative: one wrong label or one
+quotation does not excuse an insult. Landmarks are words of the training sentences. A trained
+machine is linear in the subsequences, so words are scored with one table of subsequence weights.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ NEGATIVE_WORDS = 9_000
 #: Non-toxic words with the highest margins that join the negatives after each round.
 MINED_WORDS = 3_000
 ROUNDS = 4
+#: A word of both classes is toxic if it is so many times likelier in toxic documents, and even odds are so many standard errors off.
+LEAST_ODDS, SURE = 10.0, 2.5
 #: Weight of errors against large weights. More follows labels that no word explains, less misses rare insults.
 COST = 1e4
 #: One in so many training documents is kept from a second machine, whose margins on them set the probabilities.
@@ -191,6 +194,13 @@ def _strings(word: str) -> list[str]:
     return [word[a : a + LONGEST] for a in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
+def toxic_odds(bad: Counter, good: Counter, n_bad: int, n_good: int) -> tuple[dict[str, float], set[str]]:
+    """Log odds of each word of the toxic documents, and the words of both classes that are surely toxic."""
+    odds = {w: np.log((bad[w] + 0.5) / n_bad) - np.log((good[w] + 0.5) / n_good) for w in bad}
+    error = {w: np.sqrt(1 / (bad[w] + 0.5) + 1 / (good[w] + 0.5)) for w in bad if w in good}
+    return odds, {w for w, e in error.items() if odds[w] > max(np.log(LEAST_ODDS), SURE * e)}
+
+
 def _fitted(seen: list[list[str]], toxic: np.ndarray, landmarks: int, negatives: int) -> WordMachine:
     """Machine from the words of each document, of both classes; its line is still plain."""
     rng = np.random.default_rng(37)
@@ -198,9 +208,9 @@ def _fitted(seen: list[list[str]], toxic: np.ndarray, landmarks: int, negatives:
     for words, label in zip(seen, toxic, strict=True):
         (bad if label else good).update(words)
     n_bad, n_good = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
-    odds = {w: np.log((bad[w] + 0.5) / n_bad) - np.log((good[w] + 0.5) / n_good) for w in bad}
+    odds, both = toxic_odds(bad, good, n_bad, n_good)
     worst = sorted(odds, key=lambda w: (-odds[w] * np.sqrt(bad[w]), w))
-    clean = sorted(good, key=lambda w: (-good[w], w))
+    clean = sorted(good.keys() - both, key=lambda w: (-good[w], w))
     other = clean[: landmarks // 4] + rng.permutation(clean[landmarks // 4 :])[: landmarks // 4].tolist()
     chosen = list(dict.fromkeys(worst[: landmarks - len(other)] + other))
     values, vectors = np.linalg.eigh(kernel(chosen, chosen).astype(np.float64))
@@ -214,10 +224,11 @@ def _fitted(seen: list[list[str]], toxic: np.ndarray, landmarks: int, negatives:
     own = features(chosen)
     for _ in range(ROUNDS):
         count = Counter(witness)
-        positive = sorted(w for w in count if w not in good)
+        positive = sorted(w for w in count if w not in good or w in both)
         x = np.concatenate([kernel(positive, chosen) @ root, x_negative])
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        times = np.sqrt([*(count[w] for w in positive), *(good[w] for w in negative)])
+        weight = {w: count[w] * (bad[w] / n_bad) / (bad[w] / n_bad + good[w] / n_good) for w in positive}
+        times = np.sqrt([*(weight[w] for w in positive), *(good[w] for w in negative)])
         w, b = support_vectors(x, y, times)
         weights = np.zeros(_LETTERS**ORDER)
         for alpha, d in zip(root @ w, own, strict=True):
@@ -270,7 +281,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, negat
         apart[:] = True
     judged = [w for w, out in zip(seen, apart, strict=True) if out]
     top = np.array([other.margins(words).max() if words else other.bias for words in judged])
-    machine.slope, machine.shift = _line(top, toxic[apart])
+    # beyond 1 a margin says no more: a few words far out would else tilt the line over all that lie at 1
+    machine.slope, machine.shift = _line(np.clip(top, -1, 1), toxic[apart])
     return machine
 
 

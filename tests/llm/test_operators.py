@@ -207,6 +207,14 @@ def test_classifiers(docs, labelled, nothing):
         assert module.learn(*nothing) is None
 
 
+def test_toxic_word_of_both_classes():
+    texts = [prose(i, 40) + (" blorgen" if i < 15 or i == 20 else "") for i in range(120)]
+    toxic = np.array([int(i < 15) for i in range(120)])
+    machine = toxicity.train(texts, toxic, landmarks=60, negatives=60)
+    insult, clean = machine.margins(["blorgen"])[0], machine.margins(sorted(set(" ".join(texts[15:20]).split())))
+    assert insult > 0.5 and clean.max() < 0
+
+
 def test_chat(spark):
     said = [(1, 0, "user", "hi"), (1, 1, "bot", "ho"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "ho")]
     said += [(3, 2, None, None), (4, 0, "user", "x"), (5, 0, "user", "x"), (5, 0, "user", "x"), (None, 0, "user", "x")]
