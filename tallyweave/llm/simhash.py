@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.components import components
@@ -185,6 +185,14 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, segments: int | None =
     return dealt.mapInPandas(lambda batches: _links(batches, distance), "src long, dst long")
 
 
+def _rooted(fps: DataFrame, distance: int, segments: int | None) -> DataFrame:
+    """Distinct fingerprints with the smallest one of their component."""
+    roots = components(near_links(fps.select("fp"), distance, segments))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_groups(
     docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, segments: int | None = None
 ) -> DataFrame:
@@ -197,12 +205,33 @@ def near_groups(
     """
     own = stored(with_fingerprint(docs.select("doc_id", "text"), shingle=shingle).select("doc_id", "fp"), "fp")
     fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "fps")
-    roots = components(near_links(fps.select("fp"), distance, segments))
-    member = fps.join(roots, fps["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    member = _rooted(fps, distance, segments)
     lowest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = member.select("fp", "root").join(lowest, "root").select(F.col("fp").alias("of"), "component_id")
     return own.join(named, own["fp"] == named["of"], "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_per_group(
+    docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, segments: int | None = None
+) -> DataFrame:
+    """One row of every component: that of the smallest doc_id, nulls last, then of the smallest digest.
+
+    Rows meet by a digest of all their columns and never by doc_id, which may be null or
+    repeated. Equal rows are one row before they meet.
+    """
+    marked = docs.withColumn("digest", _digest(docs))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    own = with_fingerprint(marked.select("doc_id", "text", "digest"), shingle=shingle)
+    fps = stored(own.groupBy("fp").agg(F.min(first).alias("first")), "fps")
+    best = _rooted(fps, distance, segments).groupBy("root").agg(F.min("first").alias("first"))
+    kept = marked.dropDuplicates(["digest"]).join(best.select("first.digest"), "digest", "left_semi")
+    return kept.select(docs.columns)
+
+
+def _digest(docs: DataFrame) -> Column:
+    """SHA-256 of all columns, told apart by their lengths and nulls."""
+    parts = [F.col(c).cast("string") for c in docs.columns]
+    marked = [F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.sha2(F.concat(*marked), 256)

@@ -258,6 +258,18 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0)).count() == 0
 
 
+def test_near_dedup_without_unique_ids(spark):
+    import corpus_pipeline as own
+
+    alone, one, other, copied, unnamed = (prose(i, 80) for i in range(50, 55))
+    rows = [(None, alone), (1, one), (1, other), (2, copied), (None, copied), (3, copied), (None, unnamed), (None, unnamed)]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    wanted = sorted([(None, alone), (1, one), (1, other), (2, copied), (None, unnamed)], key=str)
+    for parts in (1, 5):
+        found = own.near_dedup(spark, table.repartition(parts), "").collect()
+        assert sorted([(r.doc_id, r.text) for r in found], key=str) == wanted
+
+
 def test_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
