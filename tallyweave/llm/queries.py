@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import chat, language, neighbours, packing, passages, pieces, quality, simhash, substrings, toxicity
+from tallyweave.llm import (
+    chat,
+    language,
+    neighbours,
+    packing,
+    passages,
+    periods,
+    pieces,
+    quality,
+    setsketch,
+    simhash,
+    substrings,
+    toxicity,
+    trie,
+)
 from tallyweave.llm.tables import held_out, read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +126,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_conversation_trie"] = trie.ORACLE_SQL
+
+
+@query
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_components(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_minhash_near_dedup"] = setsketch.ORACLE_SQL
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digest(periods.with_runs(read(spark, sf_dir, "documents"), plant=True))
