@@ -17,7 +17,7 @@ links that connect it are listed, never all pairs.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,8 @@ ROWS = 4
 SLACK = 20.0
 #: Members of a bucket that are compared with as many others at once.
 BLOCK = 1024
+#: Up to so many documents are named to all tasks that read texts, beyond it texts and names are shuffled.
+BROADCAST_ROWS = 100_000
 #: Elements that are sketched at once.
 ELEMENTS = 1 << 12
 
@@ -63,6 +65,7 @@ class Shape:
 
 
 SHAPE = Shape()
+Sets = Callable[[DataFrame], DataFrame]
 
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
@@ -138,32 +141,53 @@ def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarra
     return found[:, :6].max(axis=1) - found[:, 6:].max(axis=1) <= SLACK
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text with hashes of both, by which a document is found again."""
+    return docs.select(
+        "doc_id",
+        "text",
+        F.xxhash64("doc_id").alias("k"),
+        F.xxhash64(F.lit(1), "text").alias("a"),
+        F.xxhash64("text", F.lit(2)).alias("b"),
+    )
+
+
 def with_sketch(docs: DataFrame, shingle: int = SHINGLE, shape: Shape = SHAPE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, the set itself and its registers, a row a document."""
+    """doc_id, hashes of it and of the text (k, a, b), n_shingles, digest of the set and its registers, a row a document."""
     key = docs.select("doc_id").schema[0].dataType.simpleString()
-    schema = f"doc_id {key}, n_shingles long, digest binary, shingles array<long>, registers binary"
+    schema = f"doc_id {key}, k long, a long, b long, n_shingles long, digest binary, registers binary"
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, done = batch["doc_id"], 0
+            done = 0
             for part in chunks(["" if t is None else t for t in batch["text"]]):
                 sets = [shingle_set(t, shingle) for t in part]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": ids.iloc[done : done + len(part)].array,
-                        "n_shingles": [len(s) for s in sets],
-                        "digest": [hashlib.md5(s.tobytes()).digest() for s in sets],
-                        "shingles": sets,
-                        "registers": [r.tobytes() for r in sketches(sets, shape)],
-                    }
-                )
+                rows = batch.iloc[done : done + len(part)].drop(columns="text")
                 done += len(part)
+                yield rows.assign(
+                    n_shingles=[len(s) for s in sets],
+                    digest=[hashlib.md5(s.tobytes()).digest() for s in sets],
+                    registers=[r.tobytes() for r in sketches(sets, shape)],
+                )
+
+    return _keyed(docs).select("doc_id", "k", "a", "b", "text").mapInPandas(sketch, schema)
 
-    return docs.select("doc_id", "text").mapInPandas(sketch, schema)
+
+def _sets_of(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """rid and shingles of the asked documents (rid, k, a, b): their texts are read again, sets are kept for no others."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"rid": batch["rid"], "shingles": [shingle_set(t, shingle) for t in batch["text"]]})
+
+    # four numbers a row; more of them than this meet the texts in a shuffle
+    near = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    texts = _keyed(docs).join(near, ["k", "a", "b"]).select("rid", "text")
+    return texts.mapInPandas(build, "rid long, shingles array<long>").dropDuplicates(["rid"])
 
 
 def _bands(sketched: DataFrame, shape: Shape) -> DataFrame:
-    """band, key, rid, n: a row a band, whose registers are the key."""
+    """band, key, rid: a row a band, whose registers are the key."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -175,14 +199,13 @@ def _bands(sketched: DataFrame, shape: Shape) -> DataFrame:
                     "band": np.tile(np.arange(shape.bands), len(batch)),
                     "key": keys,
                     "rid": np.repeat(batch["rid"].to_numpy(), shape.bands),
-                    "n": np.repeat(batch["n"].to_numpy(), shape.bands),
                 }
             )
 
-    return sketched.select("rid", "n", "registers").mapInPandas(spread, "band int, key long, rid long, n long")
+    return sketched.select("rid", "registers").mapInPandas(spread, "band int, key long, rid long")
 
 
-def _verified(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sketched: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """The pairs (u, v) that reach the similarity, first by registers, then on whole sets."""
 
     @F.pandas_udf("boolean")
@@ -190,18 +213,17 @@ def _verified(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: i
         x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
         return pd.Series(likely(x, y, n.to_numpy(float), m.to_numpy(float), percent)) if len(a) else pd.Series([], dtype=bool)
 
-    def side(df: DataFrame, name: str, value: str) -> DataFrame:
-        return df.select(F.col("rid").alias(name), F.col(value).alias(f"{value}_{name}"), F.col("n").alias(f"n_{name}"))
+    def side(name: str) -> DataFrame:
+        return sketched.select(F.col("rid").alias(name), F.col("registers").alias(f"registers_{name}"), F.col("n").alias(f"n_{name}"))
 
-    pairs = pairs.join(side(sketched, "u", "registers"), "u").join(side(sketched, "v", "registers"), "v")
+    pairs = pairs.join(side("u"), "u").join(side("v"), "v")
     pairs = pairs.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
     pairs = stored(pairs.where(may("registers_u", "registers_v", "n_u", "n_v")).select("u", "v"), "pairs")
-    # only the sets of the pairs travel
-    asked = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
-    asked = stored(sets.join(asked, "rid", "left_semi"), "sets")
-    both = pairs.join(side(asked, "u", "shingles"), "u").join(side(asked, "v", "shingles"), "v")
+    asked = stored(sets(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()), "sets")
+    for name in ("u", "v"):
+        pairs = pairs.join(asked.select(F.col("rid").alias(name), F.col("shingles").alias(f"shingles_{name}")), name)
     common = F.size(F.array_intersect("shingles_u", "shingles_v"))
-    return both.where(common * 100 >= (F.col("n_u") + F.col("n_v") - common) * percent).select("u", "v")
+    return pairs.where(common * 100 >= (F.size("shingles_u") + F.size("shingles_v") - common) * percent).select("u", "v")
 
 
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -270,10 +292,10 @@ def _joined(rows: pd.DataFrame, percent: int) -> pd.DataFrame | None:
     return pd.DataFrame(links, columns=["u", "v"]) if links else None
 
 
-def near_links(sketched: DataFrame, sets: DataFrame, percent: int = PERCENT, shape: Shape = SHAPE, block: int = BLOCK) -> DataFrame:
+def near_links(sketched: DataFrame, sets: Sets, percent: int = PERCENT, shape: Shape = SHAPE, block: int = BLOCK) -> DataFrame:
     """Links (u, v) with the components of all pairs that share a band and reach the similarity.
 
-    ``sketched`` has rid, n and registers of distinct non-empty sets, ``sets`` their rid, n and shingles.
+    ``sketched`` has rid, n and registers of distinct non-empty sets; ``sets`` gives rid and shingles of a table of rids.
     """
     spread = _bands(sketched, shape)
     buckets = spread.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("rid").alias("pivot")).where(F.col("members") > 1)
@@ -283,10 +305,10 @@ def near_links(sketched: DataFrame, sets: DataFrame, percent: int = PERCENT, sha
     found = components(first.select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("node").alias("rid"), "root")
     # what has met its pivot need not meet it again
     named = members.where((F.col("members") > 2) & (F.col("rid") != F.col("pivot"))).join(found, "rid", "left")
-    named = stored(named.select("band", "key", "rid", "n", F.coalesce("root", "rid").alias("comp")), "named")
+    named = stored(named.select("band", "key", "rid", F.coalesce("root", "rid").alias("comp")), "named")
     mixed = named.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = mixed.where(F.col("lo") != F.col("hi")).select("band", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    rows = named.join(mixed, ["band", "key"]).join(sketched.select("rid", "registers"), "rid")
+    rows = named.join(mixed, ["band", "key"]).join(sketched, "rid")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["band", "key", "one", "two"]
@@ -301,7 +323,8 @@ def near_links(sketched: DataFrame, sets: DataFrame, percent: int = PERCENT, sha
         return lambda batches: (out for run in _runs(batches, keys) if (out := judge(run, percent)) is not None)
 
     near = stored(dealt(rows).mapInPandas(each(_across), rows.drop("registers").schema), "near")
-    near = near.join(sketched.select("rid", "registers"), "rid").join(sets.select("rid", "shingles"), "rid")
+    asked = stored(sets(near.select("rid").distinct()), "sets")
+    near = near.join(asked.join(sketched.select("rid", "registers"), "rid"), "rid")
     return first.unionByName(dealt(near).mapInPandas(each(_joined), "u long, v long"))
 
 
@@ -318,10 +341,14 @@ def near_components(
     own = stored(with_sketch(docs, shingle, shape).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     groups = own.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first"))
     groups = stored(groups, "groups")
-    distinct = own.join(groups.select("rid"), "rid", "left_semi").withColumn("n", F.col("n_shingles"))
-    sketched = stored(distinct.select("rid", "n", "registers"), "registers")
-    sets = own.select("rid", F.col("n_shingles").alias("n"), "shingles")
-    links = near_links(sketched, sets, percent, shape, block)
+    distinct = own.join(groups.select("rid"), "rid", "left_semi")
+    distinct = stored(distinct.select("rid", "k", "a", "b", F.col("n_shingles").alias("n"), "registers"), "registers")
+
+    def sets(rids: DataFrame) -> DataFrame:
+        asked = stored(distinct.select("rid", "k", "a", "b").join(rids, "rid", "left_semi"), "asked")
+        return _sets_of(docs, asked, shingle)
+
+    links = near_links(distinct.select("rid", "n", "registers"), sets, percent, shape, block)
     found = components(links.select(F.col("u").alias("src"), F.col("v").alias("dst")))
     groups = groups.join(found.select(F.col("node").alias("rid"), "root"), "rid", "left").select("digest", "first", F.coalesce("root", "rid").alias("root"))
     lowest = groups.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -57,8 +57,9 @@ def test_registers_merge_and_estimate():
     assert not setsketch.sketches([np.zeros(0, np.int64)]).any()
 
 
-@pytest.mark.parametrize("block", [setsketch.BLOCK, 8])
-def test_components_are_those_of_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "rows"), [(setsketch.BLOCK, setsketch.BROADCAST_ROWS), (8, 0)])
+def test_components_are_those_of_all_pairs(spark, block, rows, monkeypatch):
+    monkeypatch.setattr(setsketch, "BROADCAST_ROWS", rows)
     rng = random.Random(9)
     seed = [f"w{rng.randrange(400)}" for _ in range(90)]
     texts = [edited(rng, seed, rng.randint(0, 12)) for _ in range(150)]
@@ -66,15 +67,15 @@ def test_components_are_those_of_all_pairs(spark, block):
         own = [f"u{rng.randrange(5000)}" for _ in range(rng.randint(1, 120))]
         texts += [edited(rng, own, rng.randint(0, 1 + len(own) // 12)) for _ in range(rng.randint(1, 4))]
     texts += ["Same TEXT here"] * 30 + ["same text HERE", None, None, "", " \n", "one", "ONE", "one two", "Ä b", "ä b", "x " * 5000]
-    rows = [(i * 3 - 50, t, "en", 1) for i, t in enumerate(texts)] + [(None, texts[0], "", 0), (None, "alone without id", "", 0), (7, texts[5], "", 0)]
-    rng.shuffle(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, rid int").repartition(3)
+    table = [(i * 3 - 50, t, "en", 1) for i, t in enumerate(texts)] + [(None, texts[0], "", 0), (None, "alone without id", "", 0), (7, texts[5], "", 0)]
+    rng.shuffle(table)
+    docs = spark.createDataFrame(table, "doc_id long, text string, digest string, rid int").repartition(3)
     got = setsketch.near_components(docs, block=block).collect()
     assert [f for f in got[0].asDict()] == ["doc_id", "n_shingles", "component_id", "kept"]
     plain = []
     for r in got:
         plain.append(str((r.doc_id, r.n_shingles, r.component_id, r.kept)))
-    assert sorted(plain) == _with_kept(components(rows))
+    assert sorted(plain) == _with_kept(components(table))
 
 
 def _with_kept(rows):
