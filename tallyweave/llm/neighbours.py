@@ -61,7 +61,11 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 
 def _top(query: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k`` other ids of ``data`` for every query row; data rows may stand for several equal vectors."""
+    """The best ``k`` other ids of ``data`` for every query row; data rows may stand for several equal vectors.
+
+    A block may hold one vector once for each curve: it counts once, so that ``k`` ids are ``k`` neighbours.
+    """
+    data = data[~data["ids"].map(lambda own: own[0]).duplicated()]
     a, b = _unit(query["embedding"]), _unit(data["embedding"])
     lists = [np.asarray(x) for x in data["ids"]]
     out = []

@@ -258,6 +258,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 3, 6, 500, 5000])
+def test_neighbours_with_production_parameters(spark, n):
+    vectors = np.random.default_rng(n).normal(size=(n, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table).collect()
+    assert len(found) == len({(r.query_id, r.vec_id) for r in found}) == len(range(0, n, 50)) * min(5, n - 1)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-score, kind="stable")[: min(5, n - 1)].tolist()))
+    assert hits >= 0.95 * len(found)
+
+
 def test_near_dedup_without_unique_ids(spark):
     import corpus_pipeline as own
 
