@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from contract.census import dictionaries, views
 from contract.registry import query, table
-from tallyweave.operators import features, geo, models, trials
-from tallyweave.plans.medallion import run_all, run_gold, run_silver
+from tallyweave.operators import features, geo, indexing, models, search, trials
+from tallyweave.plans.medallion import run_all, run_gold, run_silver, silver_tables
 from tallyweave.plans.master import survey_master
 from tallyweave.sources.workspace import new_path, stored
 
@@ -68,7 +68,25 @@ def k03(spark, sf):
     return kind("numeric", numeric).unionByName(kind("text", text))
 
 
-@query("k04_k06_feature_stages")
+INDEXED = ["o_orderkey", "o_orderpriority", "o_orderstatus", "CAST(o_custkey AS STRING) AS cliente", "CAST(o_orderkey AS STRING) AS pedido"]
+INDEX_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {v} AS value, count(*) AS rows, (row_number() OVER (ORDER BY count(*) DESC, {v}) - 1)::DOUBLE AS position "
+    f"FROM orders WHERE {v} IS NOT NULL GROUP BY {v}"
+    for c, v in (("o_orderpriority", "o_orderpriority"), ("o_orderstatus", "o_orderstatus"), ("cliente", "o_custkey::VARCHAR"), ("pedido", "o_orderkey::VARCHAR"))
+)
+
+
+@query("k04_frequency_index", INDEX_SQL)
+def k04_index(spark, sf):
+    """Position of every value by frequency, for columns of few values and of one value a row."""
+    return indexing.frequency_index(table(spark, sf, "orders").selectExpr(*INDEXED), ["o_orderpriority", "o_orderstatus", "cliente", "pedido"])
+
+
+@query(
+    "k04_k06_feature_stages",
+    f"SELECT p::INT AS position, count(*) AS rows, 1.0::DOUBLE AS deviation FROM {HOUSEHOLDS_SQL} CROSS JOIN range(4) AS t(p) "
+    "WHERE target_mayor IS NOT NULL GROUP BY p",
+)
 def k04(spark, sf):
     """Indexed, assembled and scaled vectors of all rows, with their deviation (1 by the scaler)."""
     from pyspark.ml import Pipeline
@@ -165,25 +183,25 @@ def _tuning(spark, sf):
     return trials.split_data(df, "target_saldo", ["saldo", "provincia", "segmento"], settings)
 
 
-def _search(spark, sf, model_type):
+def _search(spark, sf):
+    """Scores of all points of all grids over the customers."""
     split = _tuning(spark, sf)
-    flow = models.model_pipeline(split.train, split.features, model_type, "tuned")
     try:
-        return models.tuned(flow, split.train, model_type, fold="fold_place")
+        return search.searched(split.train, split.features, new_path(spark, "search"))
     finally:
         split.release()
 
 
 @query("k14_k15_grid_search")
 def k14(spark, sf):
-    """Mean AUC of every grid point of the regression over the customers."""
-    return models.grid_scores(spark, _search(spark, sf, "LogisticRegression"))
+    """Mean AUC of every grid point of every model type over the customers."""
+    return search.point_scores(_search(spark, sf))
 
 
 @query("k16_best_parameters")
 def k16(spark, sf):
-    best = models.best_parameters(_search(spark, sf, "LogisticRegression").bestModel, "LogisticRegression")
-    return spark.createDataFrame([(k, float(v)) for k, v in best.items()], "parameter string, value double")
+    """The best point of every model type over the customers."""
+    return search.best_points(_search(spark, sf))
 
 
 @query(
@@ -283,13 +301,21 @@ def k23(spark, sf):
     )
 
 
+# two points a type, so that training six models ends in minutes; k14 runs the whole grids
+NARROW = {
+    "RandomForest": {"numTrees": [20], "maxDepth": [10], "minInstancesPerNode": [5, 10]},
+    "GradientBoosting": {"maxIter": [20], "maxDepth": [5], "stepSize": [0.05, 0.1]},
+    "LogisticRegression": {"regParam": [0.01, 0.1], "elasticNetParam": [0.0]},
+}
+
+
 @query("k24_train_all")
 def k24(spark, sf):
-    """Tuned regression for up to two targets of the survey wide table, saved and measured."""
-    tables = {"enemdu_master": _survey_wide(spark, sf)}
-    return trials.train_all(
-        spark, tables, new_path(spark, "models"), trials.TrialSettings(estimators="tuned"), ["LogisticRegression"]
-    )
+    """Tuned models of every type for a target of both wide tables, saved and measured."""
+    masters, _ = silver_tables(views(spark, sf))
+    masters = {name: stored(df, name) for name, df in masters.items()}
+    settings = trials.TrialSettings(estimators="tuned", grids=NARROW, folds=2)
+    return trials.train_all(spark, masters, new_path(spark, "models"), settings, targets=1)
 
 
 @query("k25_gold_run")

@@ -1,4 +1,4 @@
-"""Binary classifiers on MLlib: preparation, estimators, tuning, evaluation, storage."""
+"""Binary classifiers on MLlib: preparation, estimators, evaluation, storage."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ from operator import add
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +18,7 @@ from pyspark.sql import types as T
 from tallyweave import presets
 from tallyweave.functions.columns import containing, present, quoted, starting, with_label
 from tallyweave.functions.expressions import as_double
+from tallyweave.operators.indexing import FrequencyIndexer
 from tallyweave.sources.workspace import shared_folder
 
 # --- Fixed values: estimator settings ------------------------------------------------
@@ -74,18 +74,6 @@ def training_data(df: DataFrame, target: str, features: Sequence[str], keep: Seq
     return with_label(df.select(*items).filter(F.col(quoted(target)).isNotNull()), target)
 
 
-def countable_features(df: DataFrame, features: Sequence[str], limit: int = presets.MAX_CATEGORIES) -> list[str]:
-    """The features without texts of more than about ``limit`` values, such as names or keys.
-
-    Indexing a text holds all its values on the driver, so their number has to be bounded.
-    """
-    _, text = by_type(df, features)
-    if not text:
-        return list(features)
-    sizes = df.agg(*[F.approx_count_distinct(quoted(c)).alias(c) for c in text]).first()
-    return [c for c in features if c not in text or sizes[c] <= limit]
-
-
 def prepared(
     df: DataFrame,
     target: str,
@@ -105,7 +93,7 @@ def prepared(
         raise ValueError(f"{target} has fewer than two classes")
     if sizes.smallest_class < min_class:
         raise ValueError(f"smallest class of {target} has {sizes.smallest_class} rows")
-    return data, countable_features(data, available)
+    return data, available
 
 
 def by_type(df: DataFrame, features: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -208,11 +196,11 @@ def relevant_features(df: DataFrame, target: str) -> list[str]:
 
 
 def feature_stages(numeric: Sequence[str], text: Sequence[str]) -> list:
-    """Index text, assemble, scale to unit deviation. Rows with unseen or null values drop out."""
+    """Number texts by frequency, assemble, scale to unit deviation. Rows with unseen or null values drop out."""
     indexed = [f"{c}_indexed" for c in text]
     stages = []
     if text:
-        stages.append(StringIndexer(inputCols=list(text), outputCols=indexed, handleInvalid="skip"))
+        stages.append(FrequencyIndexer(list(text), indexed))
     stages.append(VectorAssembler(inputCols=[*numeric, *indexed], outputCol="features", handleInvalid="skip"))
     stages.append(StandardScaler(inputCol="features", outputCol="scaled_features", withStd=True, withMean=False))
     return stages
@@ -246,14 +234,6 @@ def cuts_lineage(spark: SparkSession) -> None:
 # --- tuning and evaluation ----------------------------------------------------------------------------
 
 
-def parameter_grid(pipeline: Pipeline, model_type: str, grids: Mapping = GRIDS) -> list[dict]:
-    stage = pipeline.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in grids[model_type].items():
-        builder = builder.addGrid(stage.getParam(name), values)
-    return builder.build()
-
-
 def auc_evaluator(raw: str = "rawPrediction") -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol=raw, metricName="areaUnderROC")
 
@@ -262,51 +242,6 @@ def accuracy_evaluator(prediction: str = "prediction") -> MulticlassClassificati
     return MulticlassClassificationEvaluator(labelCol="label", predictionCol=prediction, metricName="accuracy")
 
 
-def tuned(
-    pipeline: Pipeline,
-    train: DataFrame,
-    model_type: str,
-    grids: Mapping = GRIDS,
-    folds: int = 3,
-    parallelism: int = 2,
-    fold: str | None = None,
-) -> CrossValidatorModel:
-    """Grid search by cross-validated AUC.
-
-    ``fold`` names a column with a number in [0, 1) for each row, such as ``unit_hash`` gives;
-    with it the folds are the same however the rows lie.
-    """
-    cuts_lineage(train.sparkSession)
-    own = {}
-    if fold:
-        own["foldCol"] = "cv_fold"
-        train = train.withColumn("cv_fold", F.least(F.floor(F.col(fold) * folds), F.lit(folds - 1)).cast("int"))
-    search = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=parameter_grid(pipeline, model_type, grids),
-        evaluator=auc_evaluator(),
-        numFolds=folds,
-        seed=presets.SEED,
-        parallelism=parallelism,
-        **own,
-    )
-    return search.fit(train)
-
-
-def grid_scores(spark: SparkSession, search: CrossValidatorModel) -> DataFrame:
-    """One row per grid point: its parameters and mean AUC."""
-    rows = [
-        (i, ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda x: x[0].name)), float(score))
-        for i, (point, score) in enumerate(zip(search.getEstimatorParamMaps(), search.avgMetrics))
-    ]
-    return spark.createDataFrame(rows, "grid_point int, parameters string, mean_auc double")
-
-
-def best_parameters(model: PipelineModel, model_type: str, grids: Mapping = GRIDS) -> dict[str, float]:
-    stage = model.stages[-1]
-    return {name: stage.getOrDefault(name) for name in grids[model_type]}
-
-
 def scores(predictions: DataFrame, raw: str = "rawPrediction", prediction: str = "prediction") -> tuple[float, float]:
     """AUC and accuracy."""
     return auc_evaluator(raw).evaluate(predictions), accuracy_evaluator(prediction).evaluate(predictions)

@@ -385,7 +385,6 @@ NUMERIC_TEXT = [
     "numeroDormitorios",
     "totalPersonasHogar",
 ]
-MAX_CATEGORIES = 10_000
 
 MODEL_TYPES = ["RandomForest", "GradientBoosting", "LogisticRegression"]
 MIN_CLASS_ROWS = 100

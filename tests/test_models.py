@@ -1,9 +1,10 @@
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import models, trials
+from tallyweave.operators import indexing, models, search, trials
 
 SMALL = {
     "RandomForest": {"numTrees": 3, "maxDepth": 3},
@@ -54,7 +55,6 @@ def test_numbers_as_text_and_texts_of_many_values(wide):
     data, names = models.prepared(df, "target_jefe_hogar", ["edad", "nombre", "grupo_edad_detallado"])
     assert dict(data.dtypes)["edad"] == "double"
     assert names == ["edad", "nombre", "grupo_edad_detallado"]
-    assert models.countable_features(data, names, limit=100) == ["edad", "grupo_edad_detallado"]
 
 
 def test_settings_and_grids(wide):
@@ -65,8 +65,7 @@ def test_settings_and_grids(wide):
     lr = models.classifier("LogisticRegression", "tuned")
     assert (lr.getMaxIter(), lr.getRegParam(), lr.getElasticNetParam()) == (100, 0.01, 0.1)
     for kind, size in (("RandomForest", 8), ("GradientBoosting", 8), ("LogisticRegression", 9)):
-        flow = models.model_pipeline(wide, ["edad"], kind)
-        assert len(models.parameter_grid(flow, kind)) == size
+        assert len(search.grid_points(kind, models.GRIDS)) == size
 
 
 def test_hash_split_is_whole_and_stable(wide):
@@ -111,12 +110,67 @@ def test_chosen_features_hold_no_key_and_no_source_of_the_target(wide, target):
     assert "sexoCodigo" not in models.relevant_features(df, target)
 
 
-def test_folds_do_not_depend_on_the_order_of_rows(wide):
+def test_index_equals_the_indexer_of_the_library(spark, wide):
+    from pyspark.ml.feature import StringIndexer
+
+    df = wide.withColumn("nombre", F.concat(F.lit("n"), (F.col("idVivienda") % 300).cast("string"))).withColumn(
+        "nombre", F.when(F.col("idVivienda") % 7 != 0, F.col("nombre"))
+    )
+    columns, names = ["nombre", "sexo_descripcion"], ["a", "b"]
+    theirs = StringIndexer(inputCols=columns, outputCols=names, handleInvalid="skip").fit(df).transform(df)
+    ours = indexing.FrequencyIndexer(columns, names).fit(df).transform(df)
+    get = lambda out: sorted(map(tuple, out.select("idVivienda", *names).collect()))
+    assert get(ours) == get(theirs)
+
+
+def test_a_text_of_very_many_values_trains_and_is_saved(spark, tmp_path):
+    df = spark.range(120_000).select(
+        "id", F.md5(F.col("id").cast("string")).alias("nombre"), (F.col("id") % 2).cast("double").alias("label"),
+        F.when(F.col("id") % 3 == 0, F.lit("uno")).otherwise(F.col("id").cast("string")).alias("frecuente"),
+    )
+    model = models.model_pipeline(df, ["nombre", "frecuente"], "LogisticRegression", SMALL).fit(df)
+    models.save_model(model, str(tmp_path / "m"), {"target": "x"})
+    again, _ = models.load_model(spark, str(tmp_path / "m"))
+    sums = [m.transform(df).agg(F.count("*"), F.sum("nombre_indexed"), F.max("frecuente_indexed"), F.sum("prediction")).first() for m in (model, again)]
+    assert sums[0] == sums[1] and sums[0][0] == 120_000 and sums[0][1] == 120_000 * 119_999 / 2
+    assert sums[0][2] == 80_000
+    assert model.transform(df.withColumn("nombre", F.lit("otro"))).count() == 0
+
+
+def test_a_search_that_was_cut_off_fits_only_what_is_missing(spark, wide, tmp_path, monkeypatch):
+    grids = {"LogisticRegression": {"regParam": [0.01, 0.1]}, "RandomForest": {"numTrees": [2, 3], "maxDepth": [2]}}
+    split = trials.split_data(wide, "target_jefe_hogar", ["edad", "grupo_edad_detallado"], trials.TrialSettings())
+    fits, whole = [], models.classifier
+
+    def counted(model_type, *args):
+        if len(fits) == 5:
+            raise ValueError("driver lost")
+        fits.append(model_type)
+        return whole(model_type, *args)
+
+    monkeypatch.setattr(models, "classifier", counted)
+    ask = lambda: search.searched(split.train, split.features, str(tmp_path), "s", list(grids), SMALL, grids, 2, side_by_side=1)
+    with pytest.raises(ValueError, match="driver lost"):
+        ask()
+    assert len(fits) == 5
+    fits.append("again")
+    scores = ask()
+    assert len(fits) == 9 and scores.count() == 8
+    ask()
+    assert len(fits) == 9
+    split.release()
+    points = {(r.model_type, r.grid_point): r for r in search.point_scores(scores).collect()}
+    assert len(points) == 4 and all(r.folds == 2 and 0.5 < r.mean_auc <= 1 for r in points.values())
+    for r in search.best_points(scores).collect():
+        assert r.mean_auc == max(p.mean_auc for k, p in points.items() if k[0] == r.model_type)
+
+
+def test_folds_do_not_depend_on_the_order_of_rows(wide, tmp_path):
     def found(df):
         split = trials.split_data(df, "target_jefe_hogar", ["edad", "es_urbano"], trials.TrialSettings())
         try:
-            flow = models.model_pipeline(split.train, split.features, "LogisticRegression", SMALL)
-            return models.tuned(flow, split.train, "LogisticRegression", GRID, 2, fold="fold_place").avgMetrics
+            scores = search.searched(split.train, split.features, str(tmp_path / uuid.uuid4().hex), "s", ["LogisticRegression"], SMALL, GRID, 2)
+            return [r.auc for r in scores.orderBy("grid_point", "fold").collect()]
         finally:
             split.release()
 
@@ -151,6 +205,8 @@ def test_training_tunes_saves_and_explains(spark, wide, tmp_path):
     assert set(row.best_parameters) == {"regParam"} and 0.5 < row.validation_auc_score <= 1.0
     model, metadata = models.load_model(spark, row.model_path)
     assert metadata["target"] == "target_jefe_hogar"
+    again = trials.train_all(spark, {"m": wide}, str(tmp_path), settings, ["LogisticRegression"]).first()
+    assert again == row
     assert model.transform(models.training_data(wide, "target_jefe_hogar", models.relevant_features(wide, "target_jefe_hogar"))).count() == 1200
 
 
