@@ -192,15 +192,20 @@ def a09(spark, sf):
     return _content(tables.scan_as(spark, path, df.schema))
 
 
+def _wide_orders(spark, sf):
+    age = F.expr("CAST(o_orderkey % 91 AS STRING)").alias("edad")
+    return _coded_orders(spark, sf).withColumnRenamed("codigo", "codigo_provincia_2d").select("*", age)
+
+
 @query(
     "a10_persist_wide_tables",
-    "SELECT 'censo_master' AS table_name, count(*) AS record_count, 3 AS column_count, "
+    "SELECT 'censo_master' AS table_name, count(*) AS record_count, 4 AS column_count, "
     "'codigo_provincia_2d' AS partition_column, true AS integrity_check, true AS layout_applied FROM orders "
     "UNION ALL SELECT 'otra', count(*), 5, NULL, true, false FROM customer",
 )
 def a10(spark, sf):
     named = {
-        "censo_master": _coded_orders(spark, sf).withColumnRenamed("codigo", "codigo_provincia_2d"),
+        "censo_master": _wide_orders(spark, sf),
         "otra": table(spark, sf, "customer"),
     }
     written = sinks.persist_tables(named, new_path(spark, "silver"))
@@ -216,7 +221,7 @@ def a10(spark, sf):
 def a12(spark, sf):
     path, df = new_path(spark, "sink"), table(spark, sf, "lineitem")
     sinks.write_table(df, path)
-    return sinks.verification(tables.scan_as(spark, path, df.schema), df.count())
+    return sinks.verification(spark, path, len(df.columns), df.count())
 
 
 @query("a13_compaction", CONTENT_SQL)
@@ -233,6 +238,32 @@ def a14(spark, sf):
     )
 
 
+@query(
+    "a14_files_skipped",
+    "SELECT 'o_totalprice' AS \"column\", 8 AS files_before, 8 AS touched_before, true AS fewer_touched, "
+    "count(*) FILTER (o_totalprice BETWEEN 100000 AND 110000) AS rows FROM orders "
+    "UNION ALL SELECT 'edad', 8, 8, true, count(*) FILTER (o_orderkey % 91 BETWEEN 30 AND 34) FROM orders",
+)
+def a14_skipped(spark, sf):
+    """Files that a filter has to read before and after clustering, by the least and greatest value of each file."""
+    plain, laid = new_path(spark, "plain"), new_path(spark, "clustered")
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", "o_totalprice", "CAST(o_orderkey % 91 AS INT) AS edad")
+    orders.repartition(8, "o_orderkey").write.parquet(plain)
+    before = spark.read.parquet(plain)
+    after = sinks.write_clustered(before, ["o_totalprice", "edad"], laid, files=8)
+    found = None
+    for column, low, high in (("o_totalprice", 100000.0, 110000.0), ("edad", 30, 34)):
+        rows = after.agg(F.count(F.when(F.col(column).between(low, high), 1)).alias("rows"))
+        one = sinks.files_touched(before, column, low, high).select(
+            F.col("files").cast("int").alias("files_before"), F.col("touched").cast("int").alias("touched_before")
+        ).crossJoin(sinks.files_touched(after, column, low, high).select("touched")).crossJoin(rows)
+        one = one.select(
+            F.lit(column).alias("column"), "files_before", "touched_before", (F.col("touched") < F.col("touched_before")).alias("fewer_touched"), "rows"
+        )
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query("a15_discovery", _counts_sql(ALL_TABLES))
 def a15(spark, sf):
     found = tables.discovered(spark, sf)
@@ -243,7 +274,9 @@ def a15(spark, sf):
 
 @query("a16_input_size")
 def a16(spark, sf):
-    return tables.input_size(table(spark, sf, "lineitem"))
+    """MB of a table by the file system, beside the files that its scan reads."""
+    size = F.lit(tables.path_size_mb(spark, f"{sf}/lineitem.parquet"))
+    return tables.input_size(table(spark, sf, "lineitem")).withColumn("folder_mb", size)
 
 
 @query(

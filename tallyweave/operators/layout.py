@@ -80,13 +80,12 @@ def clustering_key(df: DataFrame, columns: list[str], bits: int = CLUSTER_BITS)
     return reduce(add, parts)
 
 
-def clustered(df: DataFrame, columns: list[str], files: int | None = None) -> DataFrame:
+def clustered(df: DataFrame, columns: list[str], files: int | None = None, first: list[str] = ()) -> DataFrame:
     """Rows near in all columns end near each other: range partitions of the interleaved key.
 
-    The columns themselves and a hash of the row follow in the order, so that rows with one
+    ``first`` names columns that come before it, such as the one the table is partitioned by. The
+    columns themselves and a random number of each row end the order, so that rows with one
     key still spread over partitions.
     """
-    keyed = df.withColumns(
-        {"__key": clustering_key(df, columns), "__row": F.xxhash64(*[quoted(c) for c in df.columns])}
-    )
-    return range_placed(keyed, ["__key", *columns, "__row"], partitions=files).drop("__key", "__row")
+    keyed = df.withColumn("__key", clustering_key(df, columns))
+    return range_placed(keyed, [*first, "__key", *columns], partitions=files).drop("__key")

@@ -11,35 +11,21 @@ from tallyweave.functions.columns import quoted
 from tallyweave.sources.workspace import stored
 
 SALT = "__salt"
-SAMPLE = 0.01
-HOT_SAMPLE_ROWS = 1_000
-HOT_SHARE = 0.05
-
-
-def has_hot_key(
-    df: DataFrame, keys: list[str], sample: float = SAMPLE, least: int = HOT_SAMPLE_ROWS, share: float = HOT_SHARE
-) -> bool:
-    """Whether one value of the keys holds a large share of the rows, judged by a sample.
-
-    The answer only chooses a way to place rows; either way gives the same result.
-    """
-    sizes = df.select(*[quoted(k) for k in keys]).sample(sample, 17).groupBy(*[quoted(k) for k in keys]).count()
-    top = sizes.agg(F.max("count").alias("top"), F.sum("count").alias("rows")).first()
-    return bool(top.rows) and top.top >= least and top.top > share * top.rows
 
 
 def range_placed(
-    df: DataFrame, keys: list[str], descending: Collection[str] = (), partitions: int | None = None, **hot
+    df: DataFrame, keys: list[str], descending: Collection[str] = (), partitions: int | None = None
 ) -> DataFrame:
     """Range partitions sorted by the keys.
 
-    Rows with equal keys end in one partition. If they are a large share of all rows, a
-    random number is fixed on every row by writing the table once, and ends the order, so
-    that equal rows spread over partitions too.
+    A random number on every row ends the order, so that rows of one key, however many, spread
+    over partitions. It is fixed by writing the table once; the range bounds and the rows are
+    then read from that copy and the input is evaluated once. A table that carries the number
+    already is not written again.
     """
-    order = [F.col(quoted(k)).desc() if k in descending else F.col(quoted(k)) for k in keys]
-    if has_hot_key(df, keys, **hot):
+    if SALT not in df.columns:
         df = stored(df.withColumn(SALT, F.rand(17)), "salted")
-        order.append(F.col(SALT))
+    order = [F.col(quoted(k)).desc() if k in descending else F.col(quoted(k)) for k in keys]
+    order.append(F.col(SALT))
     placed = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     return placed.sortWithinPartitions(*order).drop(SALT)

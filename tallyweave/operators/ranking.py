@@ -26,14 +26,14 @@ def dense_rank_of_sizes(sizes: DataFrame, size: str, name: str) -> DataFrame:
 
 
 def with_global_index(
-    df: DataFrame, keys: list[str], index: str, total: str, descending: Collection[str] = (), **hot
+    df: DataFrame, keys: list[str], index: str, total: str, descending: Collection[str] = ()
 ) -> DataFrame:
     """Number the rows 1..n in the order of the keys and add n.
 
     Rows are range-partitioned and sorted by the whole order, then written once, so the
     partition a row belongs to is fixed. One offset per partition is added on reading.
     """
-    placed = range_placed(df, keys, descending, **hot).withColumns(
+    placed = range_placed(df, keys, descending).withColumns(
         {
             "__part": F.spark_partition_id(),
             "__pos": F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_POSITION)),

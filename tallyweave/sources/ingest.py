@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from tallyweave.operators.reports import INGESTION_LOG_SCHEMA
 from tallyweave.sources.sinks import verification, write_table
-from tallyweave.sources.tables import folder_exists, path_size_mb, scan_as
-from tallyweave.sources.text import active_control_rows, scan_delimited
+from tallyweave.sources.tables import folder_exists, path_size_mb
+from tallyweave.sources.text import active_control_rows, breaks_lines_in_quotes, scan_delimited
 
 
 def ingest_file(spark: SparkSession, entry: Row) -> tuple:
@@ -26,12 +26,13 @@ def ingest_file(spark: SparkSession, entry: Row) -> tuple:
     try:
         if not folder_exists(spark, source):
             return failed(f"Archivo no encontrado: {source}")
-        df = scan_delimited(spark, source, entry.delimitador)
+        # only a file with line breaks in quotes has to be read in one task
+        df = scan_delimited(spark, source, entry.delimitador, multiline=breaks_lines_in_quotes(spark, source))
         partitioned = entry.columna_particion in df.columns
         rows = df.count()
         write_table(df, destination, entry.columna_particion)
-        check = verification(scan_as(spark, destination, df.schema), rows).first()
-        size = path_size_mb(spark, source, "text")
+        check = verification(spark, destination, len(df.columns), rows).first()
+        size = path_size_mb(spark, source)
     except (PySparkException, Py4JJavaError) as e:
         return failed(str(e).split("\n")[0])
     seconds = time.monotonic() - start

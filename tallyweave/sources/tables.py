@@ -7,7 +7,7 @@ import time
 from collections.abc import Iterable, Mapping
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,12 +45,11 @@ def input_size(df: DataFrame) -> DataFrame:
     )
 
 
-def path_size_mb(spark: SparkSession, path: str, fmt: str = "parquet") -> float:
-    """MB of a file or folder; 0.0 if it is missing or empty."""
-    try:
-        return input_size(scan(spark, path, fmt)).first().size_mb
-    except (AnalysisException, Py4JJavaError):
-        return 0.0
+def path_size_mb(spark: SparkSession, path: str) -> float:
+    """MB of a file or folder as the file system sums them, without reading any; 0.0 if it is missing or empty."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength() / (1024 * 1024) if files.exists(place) else 0.0
 
 
 def load_table(
@@ -67,7 +66,7 @@ def load_table(
             missing = ",".join(x for x in (check.missing_keys, check.missing_required) if x)
         else:
             rows, score, missing = df.count(), 100.0, ""
-        size = input_size(df).first().size_mb
+        size = path_size_mb(spark, path)
     except (PySparkException, Py4JJavaError) as e:
         seconds = time.monotonic() - start
         return None, (name, False, 0, 0, 0.0, seconds, 0.0, "", str(e).split("\n")[0])

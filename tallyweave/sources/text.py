@@ -27,6 +27,12 @@ def scan_delimited(spark: SparkSession, path: str, delimiter: str = ",", multili
     )
 
 
+def breaks_lines_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the files holds an odd number of quotes, so that a quoted value goes on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def active_control_rows(control: DataFrame) -> DataFrame:
     """Active rows of a control table, blanks filled, in order of group and position."""
     missing = [c for c in presets.CONTROL_REQUIRED if c not in control.columns]

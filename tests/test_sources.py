@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyweave.operators import layout, reports
@@ -69,6 +70,11 @@ def test_control_table_and_ingestion(spark, tmp_path):
     assert got["1"].success and got["1"].records_processed == 3 and got["1"].partition_applied
     assert got["2"].success and got["2"].columns_count == 2 and not got["2"].partition_applied
     assert not got["3"].success and "no encontrado" in got["3"].error_message
+    lines = tmp_path / "lines.csv"
+    lines.write_text('codigo,v\n01,"one\ntwo"\n02,"say ""so"""\n')
+    entry = control.first().asDict() | {"path_origen": str(tmp_path), "nombre_archivo": "lines.csv", "nombre_tabla": "tl", "delimitador": ",", "path_destino": f"{d}/out"}
+    assert ingest.ingest_file(spark, Row(**entry))[2:5] == (True, 2, 2)
+    assert content(tables.scan_as(spark, f"{d}/out/tl.parquet", spark.createDataFrame([], "codigo string, v string").schema)) == [("01", "one\ntwo"), ("02", 'say "so"')]
     assert [r.category for r in reports.failure_categories(log).collect()] == ["archivo_no_encontrado"]
     stats = reports.ingestion_statistics(log).first()
     assert (stats.ingestions, stats.total_records_processed, stats.files_with_partitioning) == (3, 4, 1)
@@ -91,8 +97,8 @@ def test_write_and_verify(spark, tmp_path):
     sinks.write_table(df, path, "c")
     back = tables.scan_as(spark, path, df.schema)
     assert content(back) == content(df)
-    assert sinks.verification(back, 3).first().integrity_check is True
-    assert sinks.verification(back, 4).first().integrity_check is False
+    assert sinks.verification(spark, path, 2, 3).first().integrity_check is True
+    assert sinks.verification(spark, path, 2, 4).first().integrity_check is False
     sinks.write_table(df, path, "no_hay")
     assert content(spark.read.parquet(path)) == content(df)
 
@@ -106,6 +112,59 @@ def test_persisted_tables_report_their_layout(spark, tmp_path):
     assert all(r.integrity_check for r in log.values())
 
 
+def test_footers_count_the_rows_and_damage_is_found(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).repartition(3).write.parquet(path)
+    assert sinks.footer_rows(spark, path) == 1000
+    assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+    with pytest.raises(FileNotFoundError):
+        sinks.footer_rows(spark, str(tmp_path / "none"))
+    part = next((tmp_path / "t").glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:-30])
+    for crc in (tmp_path / "t").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)parquet|footer|magic"):
+        sinks.footer_rows(spark, path)
+
+
+def test_an_overwrite_that_fails_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    old = spark.createDataFrame([("01", 1), ("02", 2)], "c string, v int")
+    sinks.write_table(old, path, "c")
+    bad = spark.range(100).select(F.lit("03").alias("c"), F.raise_error(F.lit("lost")).cast("int").alias("v"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_table(bad, path, "c")
+    assert content(tables.scan_as(spark, path, old.schema)) == content(old)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t.parquet"]
+    # a table may be made from itself
+    sinks.write_table(tables.scan_as(spark, path, old.schema).withColumn("v", F.col("v") + 1), path, "c")
+    assert content(tables.scan_as(spark, path, old.schema)) == [("01", 2), ("02", 3)]
+    # a crash between the renames leaves the old table aside: it comes back
+    (tmp_path / "t.parquet").rename(tmp_path / "t.parquet.old-1")
+    assert sinks.recovered(spark, path) and not sinks.recovered(spark, path)
+    assert content(tables.scan_as(spark, path, old.schema)) == [("01", 2), ("02", 3)]
+
+
+def test_a_wide_table_is_evaluated_once_and_clustered(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(3000).select(
+        (F.col("id") % 3).cast("string").alias("I01"), (F.col("id") % 97).cast("string").alias("provinciaCodigo"), (F.col("id") * 7919 % 91).cast("string").alias("edad")
+    )
+    path = str(tmp_path / "m.parquet")
+    row = sinks.persist_table(df.mapInPandas(counted, df.schema), "censo_master", path, files=24)
+    assert row[3:8] == (3000, 3, "I01", True, True) and seen.value == 3000
+    back = tables.scan_as(spark, path, df.schema)
+    assert content(back) == content(df)
+    ranges = sinks.file_ranges(back.select(F.col("provinciaCodigo").cast("int").alias("p"), F.col("edad").cast("int").alias("e"), "_metadata"), ["p", "e"]).collect()
+    assert len(ranges) >= 24 and all(r.max_p - r.min_p < 90 or r.max_e - r.min_e < 84 for r in ranges)
+
+
 def test_compaction_and_clustering_keep_the_rows(spark, tmp_path):
     df = spark.range(500).select("id", (F.col("id") % 7).cast("string").alias("g"), F.rand(3).alias("x"))
     small = str(tmp_path / "small")
