@@ -149,6 +149,24 @@ PREDICTED = [
 PREDICTED_SQL = f"(SELECT {', '.join(PREDICTED)} FROM orders)"
 
 
+def _auc_sql(score):
+    return f"""SELECT '{score}' AS score, sum(2 * positive * lower + positive * negative)::DOUBLE / (2.0::DOUBLE * sum(positive)::DOUBLE * sum(negative)::DOUBLE) AS auc
+    FROM (SELECT *, coalesce(sum(negative) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM (
+      SELECT {score} AS s, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative
+      FROM (SELECT o_totalprice AS score, o_custkey::DOUBLE AS noise, CASE WHEN o_totalprice > 250000 OR o_orderstatus = 'P' THEN 1 ELSE 0 END AS label FROM orders) GROUP BY 1))"""
+
+
+@query("k12_rank_auc", f"{_auc_sql('score')} UNION ALL {_auc_sql('noise')}")
+def k12_rank(spark, sf):
+    """The same measure as a rank sum, exact at any number of scores; the label follows one score in part."""
+    df = table(spark, sf, "orders").selectExpr(
+        "o_totalprice AS score", "CAST(o_custkey AS DOUBLE) AS noise",
+        "CASE WHEN o_totalprice > 250000 OR o_orderstatus = 'P' THEN 1 ELSE 0 END AS label",
+    )
+    one = lambda c: models.rank_auc(df, c).select(F.lit(c).alias("score"), "auc")
+    return one("score").unionByName(one("noise"))
+
+
 @query("k12_auc")
 def k12(spark, sf):
     """Area under the curve of the price as a score of a label made from it and of one that is not."""
@@ -242,6 +260,20 @@ def k17b(spark, sf):
         split.release()
 
 
+@query(
+    "c09_scored_rows",
+    f"""SELECT label, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM (SELECT target_mayor AS label, o_orderkey FROM {HOUSEHOLDS_SQL}
+    WHERE target_mayor IS NOT NULL AND ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= 0.8) GROUP BY 1""",
+)
+def c09(spark, sf):
+    """Scoring by two models keeps every test row once: rows and keys per label."""
+    data, names = models.prepared(_orders(spark, sf), "target_mayor", FEATURES, KEYS)
+    train, test = models.hash_split(data, KEYS)
+    light = {"LogisticRegression": {"maxIter": 5}, "RandomForest": {"numTrees": 3, "maxDepth": 3}}
+    scored = models.fit_ensemble(train, names, light, tuple(light)).score(test)
+    return scored.groupBy("label").agg(F.count("ensemble_prediction").alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
 def _experiments(make):
     def run(spark, sf):
         return spark.createDataFrame(

@@ -11,7 +11,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from tallyweave import presets
 from tallyweave.functions.columns import containing, present, quoted, starting, with_label
 from tallyweave.functions.expressions import as_double
 from tallyweave.operators.indexing import FrequencyIndexer
-from tallyweave.sources.workspace import shared_folder
+from tallyweave.sources.workspace import shared_folder, stored
 
 # --- Fixed values: estimator settings ------------------------------------------------
 
@@ -238,6 +238,31 @@ def auc_evaluator(raw: str = "rawPrediction") -> BinaryClassificationEvaluator:
     return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol=raw, metricName="areaUnderROC")
 
 
+def rank_auc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
+    """One row: ``auc``, the share of pairs of a positive and a negative row that the score puts in order.
+
+    Ties count half. The rows are counted per score; the scores are range-partitioned and each partition
+    starts from the negatives of those before it, so any number of distinct scores is exact.
+    Rows without a score or a label take no part; a table of one class has no value.
+    """
+    known = df.where(F.col(quoted(score)).isNotNull() & F.col(quoted(label)).isin(0, 1))
+    groups = known.groupBy(F.col(quoted(score)).alias("score")).agg(
+        F.sum((F.col(quoted(label)) == 1).cast("long")).alias("positive"),
+        F.sum((F.col(quoted(label)) == 0).cast("long")).alias("negative"),
+    )
+    placed = stored(groups.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
+    # one row a partition
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").agg(F.sum("negative").alias("own"))
+    parts = parts.select("part", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("earlier"))
+    lower = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = placed.withColumn("lower", F.coalesce(F.sum("negative").over(lower), F.lit(0))).join(F.broadcast(parts), "part")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    ordered = wide("positive") * (2 * (wide("lower") + wide("earlier")) + wide("negative"))
+    sums = below.agg(F.sum(ordered).cast("double").alias("twice"), *[F.sum(c).cast("double").alias(c) for c in ("positive", "negative")])
+    return sums.select(F.try_divide("twice", 2 * F.col("positive") * F.col("negative")).alias("auc"))
+
+
 def accuracy_evaluator(prediction: str = "prediction") -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol="label", predictionCol=prediction, metricName="accuracy")
 

@@ -75,6 +75,16 @@ def test_hash_split_is_whole_and_stable(wide):
     assert {r.idVivienda for r in again.collect()} == {r.idVivienda for r in train.collect()}
 
 
+def test_rank_auc_equals_the_evaluator_of_the_library(spark):
+    rng = random.Random(8)
+    rows = [(float(rng.randint(0, 60)) if rng.random() < 0.5 else rng.random() * 60, rng.choice([0.0, 1.0, 1.0])) for _ in range(3000)]
+    df = spark.createDataFrame([*rows, (None, 1.0), (3.0, None)], "s double, label double")
+    theirs = models.auc_evaluator("s").setNumBins(0).evaluate(df.dropna())
+    assert models.rank_auc(df, "s").first().auc == pytest.approx(theirs, abs=1e-12)
+    assert models.rank_auc(df.where("label = 1"), "s").first().auc is None
+    assert models.rank_auc(df.limit(0), "s").first().auc is None
+
+
 def test_vote_rules(spark):
     df = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], "a double, b double")
     got = df.select(models.vote(["a", "b"]), models.vote(["a", "b"], "majority")).collect()
