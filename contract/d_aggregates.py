@@ -161,10 +161,23 @@ def _usage(spark, sf):
     return feature_usage(persons, "poblacion")
 
 
+# features of persons that have a known source each, by their type; a feature counts if all its sources have a value
+SUPPORT_SQL = f"""(SELECT age * 4 + sex * 3 + education * 3 AS demographic,
+    province * 4 + household + household * age * 5 AS distributed_aggregate,
+    age * education * job * 2 + age * education * area * 2 AS composite_index,
+    age * education * job + education + kinship AS target_variable
+    FROM (SELECT (count(P03) > 0)::BIGINT AS age, (count(P02) > 0)::BIGINT AS sex, (count(nivel_instruccion) > 0)::BIGINT AS education,
+      (count(I01) > 0)::BIGINT AS province, (count(ID_VIV) > 0 AND count(ID_HOG) > 0)::BIGINT AS household,
+      (count(ocupacion) > 0)::BIGINT AS job, (count(AUR) > 0)::BIGINT AS area, (count(parentesco) > 0)::BIGINT AS kinship
+      FROM {sub('poblacion')}))"""
+
+
 @query(
     "d11_features_by_type",
-    "SELECT 'demographic' AS feature_type, 10 AS features UNION ALL SELECT 'distributed_aggregate', 10 UNION ALL "
-    "SELECT 'composite_index', 4 UNION ALL SELECT 'target_variable', 3",
+    f"""SELECT 'demographic' AS feature_type, 10 AS features, demographic AS supported_features FROM {SUPPORT_SQL}
+    UNION ALL SELECT 'distributed_aggregate', 10, distributed_aggregate FROM {SUPPORT_SQL}
+    UNION ALL SELECT 'composite_index', 4, composite_index FROM {SUPPORT_SQL}
+    UNION ALL SELECT 'target_variable', 3, target_variable FROM {SUPPORT_SQL}""",
 )
 def d11(spark, sf):
     return features_by_type(_usage(spark, sf))
@@ -172,11 +185,20 @@ def d11(spark, sf):
 
 @query(
     "d12_question_coverage",
-    "SELECT 'question_1_distributed_processing' AS question, 10 AS features_count, true AS coverage_adequate "
-    "UNION ALL SELECT 'question_2_automated_features', 14, true UNION ALL SELECT 'question_3_ensemble_targets', 3, true",
+    f"""SELECT 'question_1_distributed_processing' AS question, 10 AS features_count, distributed_aggregate AS supported_count,
+    'densidad_relativa_provincia_censo,dependientes_hogar,edad_maxima_hogar,edad_minima_hogar,edad_promedio_hogar,'
+    || 'percentil_poblacional_censo,poblacion_total_provincia_censo,ranking_provincial_censo,ratio_dependencia_hogar,'
+    || 'tamaño_hogar_calculado' AS features, distributed_aggregate >= 4 AS coverage_adequate FROM {SUPPORT_SQL}
+    UNION ALL SELECT 'question_2_automated_features', 14, demographic + composite_index,
+    'categoria_desarrollo,categoria_vulnerabilidad,completo_educacion_basica,es_dependiente_demografico,es_hombre,es_mujer,'
+    || 'es_poblacion_activa,grupo_edad_detallado,grupo_edad_economico,indice_desarrollo_compuesto,'
+    || 'indice_vulnerabilidad_compuesto,nivel_educativo_numerico,sexo_descripcion,tiene_educacion_superior',
+    demographic + composite_index >= 10 FROM {SUPPORT_SQL}
+    UNION ALL SELECT 'question_3_ensemble_targets', 3, target_variable,
+    'target_educacion_superior,target_jefe_hogar,target_vulnerabilidad_alta', target_variable >= 3 FROM {SUPPORT_SQL}""",
 )
 def d12(spark, sf):
-    return question_coverage(_usage(spark, sf)).drop("features")
+    return question_coverage(_usage(spark, sf))
 
 
 EXPERIMENT_LOG = [

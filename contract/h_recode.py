@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contract.census import GEO_LOOKUP, PROVINCE_LOOKUP, dictionaries, region_rules, sub, view, views
@@ -181,7 +184,42 @@ def h10b(spark, sf):
     return load_report(_recoded(spark, sf)[0]).drop("kind")
 
 
-@query("h10_operation_log")
+LABELS_SQL = f"""SELECT 'poblacion' AS table_name, 'sexo_texto' AS target, CASE P02 WHEN '1' THEN 'Hombre' WHEN '2' THEN 'Mujer' ELSE P02 END AS label
+    FROM {sub('poblacion')} UNION ALL SELECT 'poblacion', 'AUR_recoded', CASE AUR WHEN '1' THEN 'Urbano' ELSE AUR END FROM {sub('poblacion')}
+    UNION ALL SELECT 'hogar', 'dormitorios_texto', CASE H01 WHEN '1' THEN 'Uno' ELSE H01 END FROM {sub('hogar')}
+    UNION ALL SELECT 'vivienda', 'tipo_vivienda', CASE V01 WHEN '1' THEN 'Casa' WHEN '2' THEN 'Departamento' ELSE V01 END FROM {sub('vivienda')}
+    UNION ALL SELECT 'enemdu_personas', 'sexo_texto', CASE p02 WHEN '1' THEN 'Hombre' ELSE p02 END FROM {sub('enemdu_personas')}
+    UNION ALL SELECT 'enemdu_vivienda', 'tipo_vivienda', CASE vi01 WHEN '0' THEN 'Casa' ELSE vi01 END FROM {sub('enemdu_vivienda')}"""
+
+
+@query("h10_recoded_labels", f"SELECT table_name, target, label, count(*) AS rows FROM ({LABELS_SQL}) GROUP BY 1, 2, 3")
+def h10d(spark, sf):
+    """Rows of every label of every recoded column of all tables."""
+    tables, log = _recoded(spark, sf)
+    labels = [
+        tables[name].groupBy(F.lit(name).alias("table_name"), F.lit(target).alias("target"), F.col(target).alias("label")).count()
+        for name, operation, _, target, *_ in log
+        if operation == "variable_recoding"
+    ]
+    return reduce(DataFrame.unionByName, labels).withColumnRenamed("count", "rows")
+
+
+LOG_SQL = """SELECT column0 AS table_name, column1 AS operation_type, column2 AS source_column, column3 AS target_column,
+    column4::BIGINT AS mappings_applied, true AS success, NULL::VARCHAR AS error_message FROM (VALUES
+    ('poblacion', 'variable_recoding', 'AUR', 'AUR_recoded', 1), ('poblacion', 'variable_recoding', 'P02', 'sexo_texto', 3),
+    ('poblacion', 'geographic_recoding', 'I01,CANTON', 'geography', 9),
+    ('hogar', 'variable_recoding', 'H01', 'dormitorios_texto', 1), ('hogar', 'geographic_recoding', 'I01', 'geography', 5),
+    ('vivienda', 'variable_recoding', 'V01', 'tipo_vivienda', 2), ('vivienda', 'geographic_recoding', 'I01,CANTON', 'geography', 8),
+    ('enemdu_personas', 'variable_recoding', 'p02', 'sexo_texto', 1),
+    ('enemdu_personas', 'geographic_recoding', 'ciudad', 'geography', 10),
+    ('enemdu_vivienda', 'variable_recoding', 'vi01', 'tipo_vivienda', 1),
+    ('enemdu_vivienda', 'geographic_recoding', 'ciudad', 'geography', 9)) v(column0, column1, column2, column3, column4)"""
+ROWS_SQL = """SELECT 'poblacion' AS table_name, count(*) AS rows FROM lineitem UNION ALL SELECT 'hogar', count(*) FROM orders
+    UNION ALL SELECT 'vivienda', count(*) FROM customer UNION ALL SELECT 'enemdu_personas', count(*) FROM orders
+    UNION ALL SELECT 'enemdu_vivienda', count(*) FROM customer"""
+
+
+@query("h10_operation_log", f"SELECT * FROM ({LOG_SQL}) JOIN ({ROWS_SQL}) USING (table_name)")
 def h10c(spark, sf):
     tables, log = _recoded(spark, sf)
     from tallyweave.operators.quality import load_report

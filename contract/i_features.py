@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from contract.census import PERSON_RULES, age_rules, rx, sub, view
 from contract.registry import query
 from tallyweave.operators import features, geo
@@ -139,8 +141,47 @@ def i21b(spark, sf):
     )
 
 
-@query("i22_feature_catalog")
+# feature, type, named sources, columns of the table it is made from in the end
+CATALOG = [
+    ("grupo_edad_detallado", "demographic", "P03", "P03"),
+    ("grupo_edad_economico", "demographic", "P03", "P03"),
+    ("es_dependiente_demografico", "demographic", "P03", "P03"),
+    ("es_poblacion_activa", "demographic", "P03", "P03"),
+    ("sexo_descripcion", "demographic", "P02", "P02"),
+    ("es_mujer", "demographic", "P02", "P02"),
+    ("es_hombre", "demographic", "P02", "P02"),
+    ("tiene_educacion_superior", "demographic", "educacion", "nivel_instruccion"),
+    ("completo_educacion_basica", "demographic", "educacion", "nivel_instruccion"),
+    ("nivel_educativo_numerico", "demographic", "educacion", "nivel_instruccion"),
+    ("es_urbano", "geographic", "AUR", "AUR"),
+    (
+        "indice_vulnerabilidad_compuesto", "composite_index", "es_dependiente_demografico,tiene_educacion_superior",
+        "P03,nivel_instruccion,ocupacion",
+    ),
+    ("categoria_vulnerabilidad", "composite_index", "indice_vulnerabilidad_compuesto", "P03,nivel_instruccion,ocupacion"),
+    (
+        "indice_desarrollo_compuesto", "composite_index", "nivel_educativo_numerico,es_poblacion_activa,es_urbano",
+        "P03,AUR,nivel_instruccion",
+    ),
+    ("categoria_desarrollo", "composite_index", "indice_desarrollo_compuesto", "P03,AUR,nivel_instruccion"),
+    ("target_vulnerabilidad_alta", "target_variable", "categoria_vulnerabilidad", "P03,nivel_instruccion,ocupacion"),
+    ("target_educacion_superior", "target_variable", "tiene_educacion_superior", "nivel_instruccion"),
+    ("target_jefe_hogar", "target_variable", "parentesco", "parentesco"),
+    ("target_area_urbana", "target_variable", "es_urbano", "AUR"),
+]
+
+
+def _entry_sql(feature: str, kind: str, sources: str, roots: str) -> str:
+    known = " + ".join(f"(count({c}) > 0)::BIGINT" for c in roots.split(","))
+    return f"""SELECT 'poblacion' AS table_name, '{feature}' AS feature_name, '{kind}' AS feature_type,
+    '{sources}' AS source_columns, count(*) AS rows, count({feature}) AS known_values, '{roots}' AS root_columns,
+    {known} AS known_roots, count({feature}) > 0 AND {known} = {roots.count(",") + 1} AS supported FROM {CENSUS_TARGETS}"""
+
+
+@query("i22_feature_catalog", " UNION ALL ".join(_entry_sql(*entry) for entry in CATALOG))
 def i22(spark, sf):
     from tallyweave.operators.catalog import feature_usage
 
-    return feature_usage(_census_targets(spark, sf), "poblacion")
+    usage = feature_usage(_census_targets(spark, sf), "poblacion").drop("description", "creation_method", "data_type")
+    joined = {c: F.array_join(c, ",") for c in ("source_columns", "root_columns")}
+    return usage.withColumns(joined)

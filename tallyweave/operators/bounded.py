@@ -13,16 +13,15 @@ BYTES_PER_CELL = 50
 MB = 1024 * 1024
 
 
-def small_rows(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[Row] | None:
-    """The rows if there are at most ``max_rows`` of ``max_bytes`` together, else None.
-
-    Rows and bytes are measured by a distributed aggregate first, so no more than the
-    bound ever reaches the driver.
-    """
+def proven_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether a distributed aggregate finds at most ``max_rows`` rows of ``max_bytes`` together."""
     size = df.agg(F.count("*").alias("n"), _bytes(df).alias("b")).first()
-    if size.n > max_rows or (size.b or 0) > max_bytes:
-        return None
-    return df.collect()
+    return size.n <= max_rows and (size.b or 0) <= max_bytes
+
+
+def small_rows(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> list[Row] | None:
+    """The rows if they are proven few, else None; no more than the bound ever reaches the driver."""
+    return df.collect() if proven_small(df, max_rows, max_bytes) else None
 
 
 def small_copy(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame | None:

@@ -18,7 +18,8 @@ from tallyweave.functions.expressions import (
     padded_code,
     parent_code,
 )
-from tallyweave.operators.bounded import broadcast_checked, small_rows
+from tallyweave.operators.bounded import proven_small
+from tallyweave.sources.workspace import stored
 
 
 def province_names(dictionary: DataFrame) -> DataFrame:
@@ -91,8 +92,9 @@ def homologated_table(df: DataFrame, table: str) -> DataFrame:
 def lookup_levels(lookup: DataFrame | None) -> dict[str, DataFrame]:
     """Code column -> distinct names of that level, most specific level first.
 
-    The size of the lookup is checked once. A small one is broadcast at every level; a
-    large one is checked level by level and shuffled where it stays large.
+    The lookup is evaluated once, into a written table that every level and every table located
+    by it reads. A small one is broadcast at every level; a large one is checked level by level and
+    shuffled where it stays large.
     """
     if lookup is None:
         return {}
@@ -101,13 +103,12 @@ def lookup_levels(lookup: DataFrame | None) -> dict[str, DataFrame]:
         "codigo_canton_4d": ["codigo_canton_4d", "cantonNombre", "codigo_provincia_2d", "provinciaNombre"],
         "codigo_provincia_2d": ["codigo_provincia_2d", "provinciaNombre"],
     }
-    rows = small_rows(lookup)
-    if rows is None:
-        return {k: broadcast_checked(lookup.select(*names).distinct()) for k, names in wanted.items()}
+    lookup = stored(lookup, "lookup")
+    small = proven_small(lookup)
 
     def level(names: list[str]) -> DataFrame:
-        distinct = list(dict.fromkeys(tuple(r[n] for n in names) for r in rows))
-        return F.broadcast(lookup.sparkSession.createDataFrame(distinct, lookup.select(*names).schema))
+        distinct = lookup.select(*names).distinct()
+        return F.broadcast(distinct) if small or proven_small(distinct) else distinct
 
     return {k: level(names) for k, names in wanted.items()}
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tallyweave import presets
 from tallyweave.functions.columns import containing, present, quoted, starting, with_label
 from tallyweave.functions.expressions import as_double
+from tallyweave.operators.catalog import leaf_sources
 from tallyweave.operators.indexing import FrequencyIndexer
 from tallyweave.sources.workspace import shared_folder, stored
 
@@ -123,36 +124,6 @@ def target_columns(df: DataFrame, limit: int | None = None) -> list[str]:
     return starting(df.columns, ["target_"], limit)
 
 
-def sources_of(target: str) -> set[str]:
-    """Derived columns a target is computed from, directly or through others."""
-    sources = {name: cols for name, _, cols, *_ in presets.FEATURES}
-    found, queue = set(), list(sources.get(target, []))
-    while queue:
-        c = queue.pop()
-        if c not in found:
-            found.add(c)
-            queue += sources.get(c, [])
-    return found
-
-
-def _source_name(column: str) -> str:
-    """One name for a source column, whether a table calls it by its old name, its new one or by another term."""
-    name = (presets.CENSUS_PERSON_COLUMNS | presets.SURVEY_PERSON_COLUMNS).get(column, column)
-    for source, terms in presets.SOURCE_TERMS.items():
-        if containing([name], terms):
-            return source
-    return name
-
-
-def leaf_sources(column: str) -> set[str]:
-    """The source columns that a column is made from in the end; a source column is its own."""
-    entries = {name: cols for name, _, cols, *_ in presets.FEATURES}
-    if column not in entries:
-        return {_source_name(column)}
-    sources = [*entries[column], *presets.FURTHER_SOURCES.get(column, [])]
-    return set().union(*[leaf_sources(c) for c in sources])
-
-
 def _usable(columns: Sequence[str], target: str | None) -> list[str]:
     """Columns that are no target, no row key and share no source with the target."""
     leaking = leaf_sources(target) if target else set()

@@ -98,3 +98,23 @@ def test_person_features_and_catalog(spark, census):
     cover = {r.question: r.coverage_adequate for r in catalog.question_coverage(usage).collect()}
     assert set(cover.values()) == {True}
     assert catalog.feature_catalog(spark, out.columns).count() == 27
+
+
+def test_support_follows_the_rows(spark, census):
+    from pyspark.sql import functions as F
+
+    def support(df):
+        usage = catalog.feature_usage(features.table_features(df, "poblacion"), "poblacion")
+        kinds = {r.feature_type: r.supported_features for r in catalog.features_by_type(usage).collect()}
+        return kinds, {r.question: r.coverage_adequate for r in catalog.question_coverage(usage).collect()}
+
+    persons = census["poblacion"]
+    kinds, cover = support(persons)
+    # without any age: 4 rules of the age and the household's values of it go, and what is made from them
+    fewer, less = support(persons.withColumn("P03", F.lit(None).cast("string")))
+    assert fewer["demographic"] == kinds["demographic"] - 4
+    assert fewer["distributed_aggregate"] < kinds["distributed_aggregate"]
+    assert fewer["composite_index"] == 0 and fewer["target_variable"] < kinds["target_variable"]
+    assert cover["question_2_automated_features"] and not less["question_2_automated_features"]
+    empty, none = support(persons.limit(0))
+    assert set(empty.values()) == {0} and set(none.values()) == {False}

@@ -28,9 +28,9 @@ def test_most_specific_level_is_used(spark, census):
 
 
 def test_large_lookup_joins_without_broadcast(spark, census, monkeypatch):
-    monkeypatch.setattr(geo, "small_rows", lambda df: None)
-    monkeypatch.setattr(geo, "broadcast_checked", lambda df: df)
+    monkeypatch.setattr(geo, "proven_small", lambda df: False)
     levels = geo.lookup_levels(geo.geographic_lookup(census))
+    assert "broadcast" not in levels["codigo_canton_4d"]._jdf.queryExecution().analyzed().toString().lower()
     df = spark.createDataFrame([("101",), ("999",)], "CANTON string")
     out = geo.enriched(geo.homologated(df, ["CANTON"]), levels)
     assert sorted((r.CANTON, r.cantonNombre) for r in out.collect()) == [("101", "Cuenca"), ("999", None)]
@@ -62,13 +62,64 @@ def test_recode_rules(spark, census):
 
 
 def test_large_dictionary_gives_the_same(spark, census, monkeypatch):
-    small, a = recode.recode_table(census["poblacion"], census["dict_censo"])
-    monkeypatch.setattr(recode, "small_rows", lambda df, n: None)
-    joined, b = recode.recode_table(census["poblacion"], census["dict_censo"])
-    assert a == b and small.columns == joined.columns
+    rows = census["poblacion"].unionByName(census["poblacion"])
+    small, a = recode.recode_table(rows, census["dict_censo"])
+    monkeypatch.setattr(recode, "proven_small", lambda df: False)
+    joined, b = recode.recode_table(rows, census["dict_censo"])
+    assert a == b and len(a) > 1 and sorted(small.columns) == sorted(joined.columns)
+    joined = joined.select(small.columns)
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
 
 
+def test_a_large_dictionary_joins_once_for_all_variables(spark):
+    df = spark.range(500).selectExpr("id", "id % 7 AS a", "CASE WHEN id % 3 > 0 THEN id END AS b", "1 AS c", "'x' AS lost")
+    words = spark.range(300).selectExpr(
+        "explode(array('a', 'b', 'c')) AS variable_codigo", "CAST(id AS string) AS codigo",
+        "concat(variable_codigo, id) AS etiqueta", "CASE WHEN variable_codigo = 'c' THEN 'lost' END AS campo",
+        "'SI' AS requiere_recodificacion",
+    )
+    mappings = recode.mappings_for(words)
+    out = recode.recode_unpivoted(df, mappings, recode.recodings(mappings))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # the dictionary, and the labels with their rows
+    found = {r.id: r for r in out.collect()}
+    assert len(found) == 500 and out.columns == ["id", "a", "b", "c", "a_recoded", "b_recoded", "lost"]
+    for i, r in found.items():
+        b = None if i % 3 == 0 else f"b{i}" if i < 300 else str(i)
+        assert (r.a_recoded, r.b_recoded, r.lost) == (f"a{i % 7}", b, "c1")
+    assert recode.recode_unpivoted(df, mappings, []) is df
+
+
+def test_codes_are_read_before_any_target_is_written(spark, monkeypatch):
+    """Target of a is b, which is a variable too; both ways read the old b."""
+    df = spark.createDataFrame([("1", "2"), ("2", "1"), (None, "1")], "a string, b string")
+    rows = [("a", "1", "one", "b", "SI"), ("a", "2", "two", "b", "SI"), ("b", "1", "uno", "c", "SI")]
+    words = spark.createDataFrame(
+        rows, "variable_codigo string, codigo string, etiqueta string, campo string, requiere_recodificacion string"
+    )
+    expected = [(None, None, "uno"), ("1", "one", "2"), ("2", "two", "uno")]
+    for small in (True, False):
+        monkeypatch.setattr(recode, "proven_small", lambda df, small=small: small)
+        out = recode.recode_table(df, words)[0]
+        assert sorted(map(tuple, out.select("a", "b", "c").collect()), key=str) == sorted(expected, key=str)
+
+
+def test_lookup_is_evaluated_once(spark, census):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    lookup = geo.geographic_lookup(census)
+    counted = lookup.mapInPandas(count, lookup.schema)
+    levels = geo.lookup_levels(counted)
+    for level in levels.values():
+        level.collect()
+    assert seen.value == lookup.count()
+
+
 def test_recode_all_logs_operations(spark, census):
     names = ["poblacion", "hogar", "vivienda", "dict_censo"]
     tables, log = recode.recode_all({n: census[n] for n in names}, census)

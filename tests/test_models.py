@@ -4,7 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import indexing, models, search, trials
+from tallyweave.operators import catalog, indexing, models, search, trials
 
 SMALL = {
     "RandomForest": {"numTrees": 3, "maxDepth": 3},
@@ -94,9 +94,9 @@ def test_vote_rules(spark):
 
 
 def test_leaking_features_are_left_out():
-    found = models.sources_of("target_vulnerabilidad_alta")
+    found = catalog.sources_of("target_vulnerabilidad_alta")
     assert {"categoria_vulnerabilidad", "indice_vulnerabilidad_compuesto", "es_dependiente_demografico"} <= found
-    assert models.sources_of("target_area_urbana") == {"es_urbano", "AUR"}
+    assert catalog.sources_of("target_area_urbana") == {"es_urbano", "AUR"}
 
 
 @pytest.mark.parametrize("target", [f[0] for f in models.presets.FEATURES if f[0].startswith("target_")])
