@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.tables import stored
+from tallyweave.llm.tables import least_hashed, stored
 
 REPEAT_WINDOW = 8
 LEAST_WORDS = 20
@@ -170,7 +170,7 @@ def learn_forest(counted: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -
     """A forest over at most ``limit`` labelled rows that pass the base rule, those with the smallest hashes."""
     own = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     rows = counted.where(~base_failed()).join(own, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id").limit(limit)
+    rows = least_hashed(rows, limit, F.xxhash64("doc_id", F.lit(13)), "doc_id")
     found = rows.select(*[c.alias(k) for k, c in statistics().items()], "__quality").toPandas().to_numpy(np.float64)
     good = found[found[:, -1] == 1, :-1]
     return IsolationForest(found[:, :-1], np.quantile(good, USUAL, axis=0)) if len(good) else None

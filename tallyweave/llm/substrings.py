@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.tables import shuffle_partitions, stored
+from tallyweave.llm.tables import least_hashed, shuffle_partitions, stored
 
 LENGTH = 400
 WINDOW = 96
@@ -146,7 +146,7 @@ def _among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _sampled(docs: DataFrame, keys, limit: int, buckets: int) -> Splitters:
     """Splitters from the ``limit`` documents with the smallest row keys; each sends 4096 keys at most."""
-    sample = docs.select("row", "text").where(F.octet_length("text") >= LENGTH).orderBy("row").limit(limit)
+    sample = least_hashed(docs.select("row", "text").where(F.octet_length("text") >= LENGTH), limit, F.col("row"))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.sources.workspace import stored
 
-__all__ = ["chunks", "held_out", "labelled_sample", "read", "shuffle_partitions", "stored"]
+__all__ = ["among_least", "chunks", "held_out", "labelled_sample", "least_hashed", "read", "shuffle_partitions", "stored"]
 
 #: Characters of text that the numpy code works on at once.
 CHUNK_CHARS = 1 << 20
@@ -28,6 +28,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def among_least(value: Column, total: Column | int, limit: int) -> Column:
+    """Whether a 64-bit hash is one of the least of ``total``, by a bound that about ``2 * limit + 64`` of them stay below.
+
+    The bound leaves fewer than ``limit`` only where few keys hold most of the rows.
+    """
+    return (value / F.lit(2.0**64) + 0.5) * total <= 2 * limit + 64
+
+
+def least_hashed(rows: DataFrame, limit: int, value: Column, *ties: str) -> DataFrame:
+    """The ``limit`` rows with the least hashes, ties by the named columns.
+
+    Rows are counted first and those above a bound leave where they are, so that what meets
+    in the sort grows neither with the input nor with its partitions.
+    """
+    return rows.where(among_least(value, rows.count(), limit)).orderBy(value, *ties).limit(limit)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """At most ``limit`` training rows (text, label) of each class, those with the smallest hashes.
 
@@ -39,7 +56,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     )
     chosen = None
     for value in (0, 1):
-        of_class = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(limit)
+        of_class = least_hashed(known.where(F.col("label") == value), limit, F.xxhash64("doc_id", F.lit(7)), "doc_id")
         chosen = of_class if chosen is None else chosen.unionByName(of_class)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     # two times the limit of ids at most
