@@ -9,7 +9,6 @@ documents; all texts are read whole when they are labelled.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.tables import chunks, held_out
+from tallyweave.llm.tables import among_least, chunks, held_out
 
 STEPS = 64
 HIDDEN = 8
@@ -29,7 +28,10 @@ FIT_BATCH = 256
 BLOCK = 2048
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; fractions, superscripts and other number signs are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def windows_of(texts: list[str], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +57,8 @@ class ByteGru:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
         self.labels = labels
+        #: Halfway between an even mixture and the least score of a rightly labelled training document.
+        self.least_score = 0.0
         self.weights = {
             "table": draw(2, 256, 3 * hidden) * 0.3,
             "state": draw(2, hidden, 3 * hidden) / np.float32(hidden**0.5),
@@ -169,16 +173,33 @@ def learn(docs: DataFrame, limit: int = FIT_DOCS) -> ByteGru | None:
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
     ids = known.where(F.length("text") > 0).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+    value = F.xxhash64("doc_id", F.lit(3))
+    # one row a language; a language of any number of documents sends about twice the limit of ids to its task
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("total"))
+    ids = ids.join(sizes, "lang").where(among_least(value, F.col("total"), limit))
+    order = Window.partitionBy("lang").orderBy(value, "doc_id")
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("doc_id").distinct()
     # limit ids for each language at most
     rows = known.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").toPandas().sort_values("doc_id")
     if not len(rows):
         return None
     labels = sorted(rows["lang"].unique())
-    windows, owner = windows_of(rows["text"].fillna("").tolist())
-    target = rows["lang"].map(labels.index).to_numpy()[owner]
-    return ByteGru(labels).fit(windows, target)
+    texts = rows["text"].fillna("").tolist()
+    windows, owner = windows_of(texts)
+    number = rows["lang"].map(labels.index).to_numpy()
+    model = ByteGru(labels).fit(windows, number[owner])
+    model.least_score = least_score(model.document_probabilities(texts), number)
+    return model
+
+
+def least_score(probabilities: np.ndarray, number: np.ndarray) -> float:
+    """Halfway between an even mixture and the least score of a row whose likeliest label is its own.
+
+    0 with one label, or if no row is right.
+    """
+    labels = probabilities.shape[1]
+    right = probabilities[probabilities.argmax(axis=1) == number].max(axis=1)
+    return float((1 / labels + right.min()) / 2) if labels > 1 and len(right) else 0.0
 
 
 def predicted(model: ByteGru | None, text: Column) -> Column:
@@ -190,7 +211,7 @@ def predicted(model: ByteGru | None, text: Column) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t if model is not None and t and _LETTER.search(t) else "" for t in batch]
+            texts = [t if model is not None and has_letter(t) else "" for t in batch]
             lang, score = [], []
             for part in chunks(texts):
                 p = model.document_probabilities(part) if model is not None else np.zeros((len(part), 1))

@@ -8,10 +8,11 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from tallyweave.llm import chat, language, neighbours, packing, passages, pieces, quality, simhash, substrings, toxicity
+from tallyweave.llm import chat, language, neighbours, packing, passages, pieces, quality, simhash, substrings, tables, toxicity
 from tallyweave.llm.queries import TOKENIZER
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long"
@@ -285,6 +286,43 @@ def test_near_dedup_without_unique_ids(spark):
         assert sorted([(r.doc_id, r.text) for r in found], key=str) == wanted
 
 
+def test_scaled_copies_tie_by_id(spark):
+    """Every vector is one of 7 directions at some length: neighbours are the copies with the smallest ids."""
+    rng = np.random.default_rng(3)
+    ways = rng.normal(size=(7, 24))
+    rows = [(i, (ways[i % 7] * float(rng.uniform(0.1, 900))).tolist()) for i in range(420)]
+    rows += [(500, [1e250] * 24), (501, [3e251] * 24), (502, [1e-250] * 24)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in range(0, 420, 50):
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [v for _, v, _ in own] == [v for v in range(q % 7, 420, 7) if v != q][:5]
+        assert all(abs(c - 1) < 1e-12 for _, _, c in own)
+    assert sorted((r.rank, r.vec_id) for r in got if r.query_id == 500)[:2] == [(1, 501), (2, 502)]
+
+
+@pytest.mark.parametrize("rows, parts, limit", [(0, 1, 5), (3, 2, 5), (40, 3, 5), (20_000, 40, 100)])
+def test_least_hashed_is_a_sorted_limit(spark, rows, parts, limit):
+    df = spark.range(0, rows, 1, parts)
+    value = F.xxhash64("id", F.lit(7))
+    got = [r.id for r in tables.least_hashed(df, limit, value, "id").collect()]
+    assert got == [r.id for r in df.orderBy(value, "id").limit(limit).collect()]
+    kept = df.where(tables.among_least(value, rows, limit)).count()
+    assert kept <= 4 * limit + 128
+
+
+def test_letters():
+    assert [language.has_letter(t) for t in (None, "", "½²①Ⅷ 12_", "1a", "ß", "日", "\u0301")] == [
+        False, False, False, True, True, True, False,
+    ]
+
+
+def test_least_language_score():
+    p = np.array([[0.9, 0.1], [0.4, 0.6], [0.3, 0.7], [0.55, 0.45]])
+    assert language.least_score(p, np.array([0, 1, 0, 0])) == (0.5 + 0.55) / 2
+    assert language.least_score(np.ones((2, 1)), np.array([0, 0])) == 0.0
+    assert language.least_score(p[:0], np.zeros(0, int)) == 0.0
+
+
 def test_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
