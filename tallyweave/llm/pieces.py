@@ -25,8 +25,13 @@ from tallyweave.llm.tables import chunks
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Words, and pairs of pieces, that fill a worker's memory; those not met since it last filled are then forgotten.
+#: Words that fill a worker's memory; those not met since it last filled are then forgotten.
 REMEMBERED = 1 << 17
+#: Bits of a place in the table of pairs of pieces, and in that of hashes of pieces and of their ends.
+PAIR_BITS = 21
+MARK_BITS = 22
+_MARK_SHIFT = np.uint64(64 - MARK_BITS)
+_WHOLE, _SUFFIX = np.uint8(1), np.uint8(2)
 #: Characters of the texts whose new words are looked up at once, and of the words that advance together.
 CHUNK_CHARS = 1 << 21
 TOGETHER = 1 << 18
@@ -51,8 +56,12 @@ class PieceModel:
         keys = np.array([self._hash(p) for p in self.ids], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(self.ids.values()))[order]
-        self.fits: dict[int, bool] = {}
-        self.fits_before: dict[int, bool] = {}
+        self.marks = np.zeros(1 << MARK_BITS, np.uint8)
+        self.marks[(self.keys >> _MARK_SHIFT).astype(np.int64)] |= _WHOLE
+        ends = {p[i:] for p in self.ids for i in range(1, len(p))}
+        self.marks[(np.array([self._hash(e) for e in ends], np.uint64) >> _MARK_SHIFT).astype(np.int64)] |= _SUFFIX
+        self.pair = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
         self.known: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
 
@@ -76,23 +85,45 @@ class PieceModel:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
     def _goes(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether each piece may follow the one before it (UNKNOWN: a character that is no piece)."""
-        if len(self.fits) > REMEMBERED:
-            self.fits_before, self.fits = self.fits, {}
-        code = (before + 2) * (self.size + 2) + piece
-        pairs, back = np.unique(code, return_inverse=True)
-        out = np.empty(len(pairs), bool)
-        for i, c in enumerate(pairs.tolist()):
-            fit = self.fits.get(c)
-            if fit is None:
-                fit = self.fits[c] = self.fits_before.get(c)
-            if fit is None:
-                a, b = c // (self.size + 2) - 2, c % (self.size + 2)
-                left = [self.text[a]] if a >= 0 else []
-                fit = self._merged([*"".join(left), *self.text[b]]) == [*left, self.text[b]]
-                self.fits[c] = fit
-            out[i] = fit
-        return out[back]
+        """Whether each piece may follow the one before it (UNKNOWN: a character that is no piece).
+
+        Answers are kept in a table of fixed size, a pair's place in which another pair may take over.
+        """
+        code = (before + 2).astype(np.int64) * (self.size + 2) + piece
+        at = ((code.astype(np.uint64) * _FACTOR) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        new = np.flatnonzero(self.pair[at] != code)
+        out = self.pair_fits[at]
+        if len(new):
+            pairs, first, back = np.unique(code[new], return_index=True, return_inverse=True)
+            fits = np.array([self._fits(c) for c in pairs.tolist()])
+            self.pair[at[new][first]], self.pair_fits[at[new][first]] = pairs, fits
+            out[new] = fits[back]
+        return out
+
+    def _fits(self, code: int) -> bool:
+        a, b = code // (self.size + 2) - 2, code % (self.size + 2)
+        left = [self.text[a]] if a >= 0 else []
+        return self._merged([*"".join(left), *self.text[b]]) == [*left, self.text[b]]
+
+    def _found(self, codes: np.ndarray, i: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and hashes of the substrings ending before character ``i`` that may be pieces, by length from 1.
+
+        A row leaves as soon as no piece ends with its substring.
+        """
+        out = []
+        rows, sums = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        power = np.uint64(1)
+        for size in range(1, min(i, self.longest) + 1):
+            sums = sums + codes[rows, i - size] * power
+            power = power * _FACTOR
+            seen = self.marks[(sums >> _MARK_SHIFT).astype(np.int64)]
+            whole = np.flatnonzero(seen & _WHOLE)
+            out.append((rows[whole], sums[whole]))
+            going = np.flatnonzero(seen & _SUFFIX)
+            if not len(going):
+                break
+            rows, sums = rows[going], sums[going]
+        return out
 
     def _viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length as 32-bit integers; a character that is no piece gives its bytes."""
@@ -100,24 +131,20 @@ class PieceModel:
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length)
         with np.errstate(over="ignore"):
             codes = points.astype(np.uint64) + np.uint64(1)
-            last = np.full((n, length + 1), _NONE, np.int64)
+            last = np.full((n, length + 1), _NONE, np.int32)
             last[:, 0] = UNKNOWN  # nothing before
-            step = np.zeros((n, length + 1), np.int64)
-            power = _FACTOR ** np.arange(self.longest + 1, dtype=np.uint64)
+            step = np.zeros((n, length + 1), np.int32)
             for i in range(1, length + 1):
-                # hashes of the substrings that end here, by length
-                ending = np.zeros((n, min(i, self.longest)), np.uint64)
-                sums = np.zeros(n, np.uint64)
-                for size in range(1, min(i, self.longest) + 1):
-                    sums = sums + codes[:, i - size] * power[size - 1]
-                    ending[:, size - 1] = sums
-                for size in range(min(i, self.longest), 0, -1):
-                    rows = np.flatnonzero((last[:, i] == _NONE) & (last[:, i - size] != _NONE))
-                    if not len(rows):
+                found = self._found(codes, i)
+                for size in range(len(found), 0, -1):
+                    rows, key = found[size - 1]
+                    open_ = np.flatnonzero((last[rows, i] == _NONE) & (last[rows, i - size] != _NONE))
+                    if not len(open_):
                         continue
-                    key = ending[rows, size - 1]
+                    rows, key = rows[open_], key[open_]
                     at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                    rows, at = rows[self.keys[at] == key], at[self.keys[at] == key]
+                    is_piece = self.keys[at] == key
+                    rows, at = rows[is_piece], at[is_piece]
                     if len(rows):
                         ids = self.key_ids[at]
                         fit = self._goes(last[rows, i - size], ids)
@@ -125,17 +152,25 @@ class PieceModel:
                 rest = np.flatnonzero((last[:, i] == _NONE) & (last[:, i - 1] != _NONE))
                 alone = [r for r in rest.tolist() if words[r][i - 1] not in self.ids]
                 last[alone, i], step[alone, i] = UNKNOWN, 1
-        out = []
-        for r, word in enumerate(words):
-            ids, i = [], length
-            while i:
-                own = last[r, i]
-                if own == UNKNOWN:
-                    ids += [self.byte[b] for b in reversed(word[i - 1].encode("utf-8", "surrogatepass"))]
+        # the best paths, all words one piece back at a time
+        on = np.zeros((n, length + 1), bool)
+        rows, at = np.arange(n), np.full(n, length)
+        while len(rows):
+            on[rows, at] = True
+            back = step[rows, at]
+            at = np.where(back > 0, at - back, 0)
+            rows, at = rows[at > 0], at[at > 0]
+        flat = last[on].astype(np.int32).tobytes()
+        ends = (on.sum(axis=1).cumsum() * 4).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for r in np.flatnonzero((on & (last == UNKNOWN)).any(axis=1)).tolist():
+            ids = []
+            for i in np.flatnonzero(on[r]).tolist():
+                if last[r, i] == UNKNOWN:
+                    ids += [self.byte[b] for b in words[r][i - 1].encode("utf-8", "surrogatepass")]
                 else:
-                    ids.append(int(own))
-                i -= int(step[r, i]) or i
-            out.append(np.array(ids[::-1], np.int32).tobytes())
+                    ids.append(int(last[r, i]))
+            out[r] = np.array(ids, np.int32).tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -155,7 +190,7 @@ class PieceModel:
             size = max(1, TOGETHER // len(own[0]))
             for at in range(0, len(own), size):
                 self.known.update(zip(own[at : at + size], self._viterbi(own[at : at + size]), strict=True))
-        return [np.frombuffer(b"".join([self.known[w] for w in own]), np.int32) for own in units]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32) for own in units]
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join([self.raw[i] for i in ids])
@@ -170,7 +205,11 @@ def _model(path: str) -> PieceModel:
 
 
 def encoded(text: Column, path: str) -> Column:
-    """Ids of a whole text; none for an empty text, null for a null one."""
+    """Ids of a whole text; none for an empty text, null for a null one.
+
+    Each row is encoded by itself, so repeated rows get equal ids, no rows give none and other columns
+    play no part. A word of any length is searched whole, in time and memory linear in its length.
+    """
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -235,6 +235,21 @@ def test_pieces(docs):
     assert [model.decode(x) for x in ids] == texts
     null = docs.where("text is null").select(pieces.encoded(docs.text, path).alias("ids")).first().ids
     assert null is None
+    assert docs.limit(0).select(pieces.encoded(docs.text, path)).count() == 0
+    back = docs.withColumn("ids", pieces.encoded(docs.text, path)).withColumn("back", pieces.decoded(F.col("ids"), path))
+    assert back.count() == docs.count() and back.where(~F.col("back").eqNullSafe(F.col("text"))).count() == 0
+
+
+def test_pieces_of_random_texts(monkeypatch):
+    """Ids equal the library's, also if pairs of pieces keep driving one another out of their table."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(3)
+    letters = "abcdefghijklmnop  ▁éüß日本😀\t\n0123.,'-ABĆ\x00"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["ab" * 2000 + "😀" * 50]
+    for bits in (4, pieces.PAIR_BITS):
+        monkeypatch.setattr(pieces, "PAIR_BITS", bits)
+        assert pieces.PieceModel(path).encode(texts) == library.encode(texts)
 
 
 def test_neighbours(spark):
