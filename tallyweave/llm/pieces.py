@@ -222,6 +222,26 @@ def encoded(text: Column, path: str) -> Column:
     return encode(text)
 
 
+def encoded_and_checked(text: Column, path: str) -> Column:
+    """Struct of a text's ids and of whether they decode to the text, made by one worker a task.
+
+    Rows are treated as by ``encoded``; for a null text both are null.
+    """
+
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            null = iter(batch.isna().tolist())
+            model = _model(path)
+            for part in chunks([t or "" for t in batch], CHUNK_CHARS):
+                ids = model.encode_arrays(part)
+                same = [model.decode(own.tolist()) == t for own, t in zip(ids, part, strict=True)]
+                rows = [(None, None) if next(null) else row for row in zip(ids, same, strict=True)]
+                yield pd.DataFrame(rows, columns=["ids", "round_trip"], dtype=object)
+
+    return encode(text)
+
+
 def decoded(ids: Column, path: str) -> Column:
     """Text of an array of ids; null for null. A text's own U+2581 characters come back as spaces."""
 

@@ -237,6 +237,11 @@ def test_pieces(docs):
     assert null is None
     assert docs.limit(0).select(pieces.encoded(docs.text, path)).count() == 0
     back = docs.withColumn("ids", pieces.encoded(docs.text, path)).withColumn("back", pieces.decoded(F.col("ids"), path))
+    both = docs.select("text", pieces.encoded_and_checked(docs.text, path).alias("done")).select("text", "done.*")
+    assert {(r.text, tuple(r.ids or ()), r.round_trip) for r in both.collect()} == {
+        (r.text, tuple(r.ids or ()), None if r.text is None else r.back == r.text) for r in back.collect()
+    }
+    assert both.where("text is null and ids is null").count() == both.where("text is null").count() > 0
     assert back.count() == docs.count() and back.where(~F.col("back").eqNullSafe(F.col("text"))).count() == 0
 
 
