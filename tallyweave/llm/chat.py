@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns and rendered text of every conversation that no longer one begins with.
+def _ordered(turns: DataFrame) -> DataFrame:
+    """conv_id, pos (from 1), role and text of every different turn, and two hashes of the conversation up to it.
 
-    A rolling hash over (role, text) stands for every turn prefix; conversations whose whole hash
-    is a proper prefix of another are removed by an anti-join, and of equal conversations the
-    smallest conv_id stays. Prefix hashes are made distinct before they meet, so a first turn
-    that very many conversations share is one row. Turns are ordered by turn, then role and text;
-    repeated rows count once; a null role or text is empty; rows without a conv_id are left out.
-    A conversation's turns meet in one row, as its rendering does. No rows give no rows.
+    The hashes roll: each turn, hashed with its position, is added to what stands before it.
     """
     rows = turns.where(F.col("conv_id").isNotNull()).select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    step = lambda done, t: F.concat(
-        done,
-        F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256)),
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turn = F.struct("turn", "role", "text")
+    rows = rows.withColumn("before", F.lag(turn).over(order)).where(~F.col("before").eqNullSafe(turn)).drop("before")
+    return rows.withColumn("pos", F.row_number().over(order)).select(
+        "conv_id",
+        "pos",
+        "role",
+        "text",
+        F.bit_xor(F.xxhash64("pos", "role", "text")).over(so_far).alias("x"),
+        F.bit_xor(F.xxhash64("text", "role", "pos")).over(so_far).alias("y"),
+        F.lead("pos").over(order).isNull().alias("last"),
     )
-    hashed = whole.withColumn("prefixes", F.aggregate("turns", F.array().cast("array<string>"), step))
-    hashed = hashed.withColumn("whole", F.element_at("prefixes", -1))
-    begun = hashed.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("whole")).distinct()
-    first = hashed.groupBy("whole").agg(F.min("conv_id").alias("conv_id")).join(begun, "whole", "left_anti")
-    said = F.transform("turns", lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("\n")))
-    kept = hashed.drop("whole").join(first.select("conv_id"), "conv_id", "left_semi")
-    return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.concat_ws("", said).alias("rendered"))
+
+
+def maximal_conversations(turns: DataFrame) -> DataFrame:
+    """conv_id, n_turns and rendered text of every conversation that no longer one begins with.
+
+    A rolling hash over (position, role, text) stands for every turn prefix; conversations whose whole hash
+    is a proper prefix of another are removed by an anti-join, and of equal conversations the
+    smallest conv_id stays. Prefix hashes are made distinct before they meet, so a first turn
+    that very many conversations share is one row. Turns are ordered by turn (null first), then role and text;
+    repeated rows count once; a null role or text is empty; rows without a conv_id are left out; columns
+    of other names play no part. No rows give no rows. Turns stay rows, sorted by conversation and hashed
+    as they stream past, in work linear in their number; only those of a conversation that is kept meet
+    in one row, its rendering.
+    """
+    ordered = _ordered(turns)
+    prefix = ["pos", "x", "y"]
+    begun = ordered.where(~F.col("last")).select(prefix).distinct()
+    whole = ordered.where("last").groupBy(prefix).agg(F.min("conv_id").alias("conv_id"))
+    kept = ordered.join(whole.join(begun, prefix, "left_anti").select("conv_id"), "conv_id", "left_semi")
+    said = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n"))
+    gathered = F.array_sort(F.collect_list(F.struct("pos", said.alias("said"))))
+    return kept.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.concat_ws("", gathered["said"]).alias("rendered"))
 
 
 ORACLE_SQL = """

@@ -225,6 +225,30 @@ def test_chat(spark):
     assert chat.maximal_conversations(table.limit(0)).count() == 0
 
 
+def test_chat_with_long_and_random_conversations(spark):
+    """Against brute force: ties of turns, null turns, repeated rows, shared beginnings and 100,000 turns in one conversation."""
+    rng = random.Random(11)
+    told = {}
+    for c in range(300):
+        start = list(told[rng.randrange(c)]) if c and rng.random() < 0.6 else []
+        more = [(rng.choice("ub"), rng.choice(["", "a", "b"])) for _ in range(rng.randrange(0 if start else 1, 4))]
+        told[c] = start[: rng.randrange(len(start) + 1)] + more or start
+    rows = [(c, i, r or None, t or None) for c, own in told.items() for i, (r, t) in enumerate(own)]
+    rows += rng.sample(rows, 50) + [(900, 0, "u", "q"), (900, 0, "u", "p"), (901, 0, "u", "p"), (902, None, "u", "p"), (902, 1, "u", "q")]
+    told |= {900: [("u", "p"), ("u", "q")], 901: [("u", "p")], 902: [("u", "p"), ("u", "q")]}
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    long = spark.range(200_000).select(
+        F.expr("1000 + id % 2").alias("conv_id"), F.expr("int(id / 2)").alias("turn"), F.lit("u").alias("role"),
+        F.when(F.col("id") < 199_999, F.expr("string(int(id / 2) % 7)")).otherwise("end").alias("text"),
+    )
+    found = {r.conv_id: (r.n_turns, r.rendered) for r in chat.maximal_conversations(table.unionByName(long)).collect()}
+    least = {tuple(own): c for c, own in sorted(told.items(), reverse=True)}
+    inner = {own[:i] for own in least for i in range(len(own))}
+    want = {c: own for own, c in least.items() if own not in inner}
+    assert found.pop(1000)[0] == found.pop(1001)[0] == 100_000
+    assert found == {c: (len(own), "".join(f"<|{r}|>\n{t}\n" for r, t in own)) for c, own in want.items()}
+
+
 def test_pieces(docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
