@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +19,10 @@ def _ordered(turns: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turn = F.struct("turn", "role", "text")
-    rows = rows.withColumn("before", F.lag(turn).over(order)).where(~F.col("before").eqNullSafe(turn)).drop("before")
+    turn = ["turn", "role", "text"]
+    repeated = reduce(and_, [F.col(c).eqNullSafe(F.col(f"before.{c}")) for c in turn])
+    # column by column: the lag of a struct would have every text shuffled twice
+    rows = rows.withColumn("before", F.struct(*[F.lag(c).over(order).alias(c) for c in turn])).where(~repeated).drop("before")
     return rows.withColumn("pos", F.row_number().over(order)).select(
         "conv_id",
         "pos",
