@@ -67,6 +67,16 @@ def passages_of(texts: list[str], size: int = PASSAGE_BYTES) -> tuple[np.ndarray
     return np.concatenate([np.sqrt(share) * 3, more], axis=1).astype(np.float32), owner
 
 
+def features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``passages_of`` any number of texts, worked on by the chunk: only the features of all are held together."""
+    parts, before = [], 0
+    for part in chunks(texts):
+        x, owner = passages_of(part)
+        parts.append((x, owner + before))
+        before += len(part)
+    return np.concatenate([x for x, _ in parts]), np.concatenate([owner for _, owner in parts])
+
+
 class GatedAttention:
     """Encoder, gated attention and scorer; a bag is the passages of a document."""
 
@@ -142,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     rows = labelled_sample(docs, labels, label, limit).toPandas().sort_values(["doc_id", "label"])
     if not len(rows):
         return None
-    x, owner = passages_of(rows["text"].tolist())
+    x, owner = features_of(rows["text"].tolist())
     return GatedAttention().fit(x, owner, rows["label"].to_numpy(np.float32))
 
 

@@ -197,6 +197,13 @@ def test_gradients_of_networks():
         net.weights[name][at] -= 1e-3
 
 
+def test_features_by_the_chunk_are_those_of_all():
+    texts = [prose(i, 50_000) for i in range(6)] + ["", "é" * 700, prose(9, 30)]
+    assert len(list(tables.chunks(texts))) > 1
+    for found, whole in zip(passages.features_of(texts), passages.passages_of(texts), strict=True):
+        assert np.array_equal(found, whole)
+
+
 def test_classifiers(docs, labelled, nothing):
     for module, label, cut in ((passages, "quality", 0.3), (toxicity, "toxic", 0.5)):
         model = module.learn(*labelled)
