@@ -1,4 +1,5 @@
 import random
+import threading
 import uuid
 
 import pytest
@@ -227,3 +228,20 @@ def test_importance_follows_the_assembled_order(wide):
     importance = dict(models.feature_importance(model))
     assert list(importance) == ["edad", "indice_x", "grupo_edad_detallado"]
     assert importance["edad"] > importance["indice_x"]
+
+
+def test_rows_to_fit_are_spread(spark):
+    # one file of many rows came as one partition, so that one core did all passes of a fit
+    cores = spark.sparkContext.defaultParallelism
+    many = models.spread_rows(spark.range(10_000 * cores, numPartitions=1))
+    assert many.rdd.getNumPartitions() == cores and many.count() == 10_000 * cores
+    few = models.spread_rows(spark.range(100, numPartitions=40))
+    assert few.rdd.getNumPartitions() == 1 and few.agg({"id": "sum"}).first()[0] == 4950
+    assert models.fit_partitions(100_000_000, 12) == 200
+    many.unpersist(), few.unpersist()
+
+
+def test_experiments_run_side_by_side(spark):
+    # each waits for the others: one after another they would never end
+    meet = threading.Barrier(3, timeout=60)
+    assert trials._together(spark, [lambda i=i: (meet.wait(), i)[1] for i in range(3)]) == [0, 1, 2]
