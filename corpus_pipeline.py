@@ -23,11 +23,13 @@ PASSAGE_BYTES = 250
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language stay; those without a letter or with an even mixture go.
 
-    A mixture is even if its score is nearer to that of chance than to the least of a rightly labelled training document.
+    A mixture is even if its score is nearer to that of chance than to the least of all rightly labelled documents
+    that are not held out.
     """
     model = language.learn(docs)
-    found = language.with_language(docs.select(COLUMNS), model)
-    least = model.least_score if model else 0.0
+    # scored once, read for the least score and for the rows
+    found = stored(language.with_language(docs.select(COLUMNS), model), "scored")
+    least = language.least_score_of_all(found, model)
     known = (F.col("language.lang_pred") != language.UNKNOWN) & (F.col("language.score") >= least)
     return found.where(known).select(COLUMNS)
 

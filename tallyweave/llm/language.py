@@ -25,7 +25,7 @@ FIT_DOCS = 300
 FIT_ROUNDS = 400
 FIT_BATCH = 256
 #: Windows that are read at once.
-BLOCK = 2048
+BLOCK = 512
 UNKNOWN = "und"
 
 
@@ -57,8 +57,6 @@ class ByteGru:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1, shape).astype(np.float32)
         self.labels = labels
-        #: Halfway between an even mixture and the least score of a rightly labelled training document.
-        self.least_score = 0.0
         self.weights = {
             "table": draw(2, 256, 3 * hidden) * 0.3,
             "state": draw(2, hidden, 3 * hidden) / np.float32(hidden**0.5),
@@ -187,9 +185,11 @@ def learn(docs: DataFrame, limit: int = FIT_DOCS) -> ByteGru | None:
     texts = rows["text"].fillna("").tolist()
     windows, owner = windows_of(texts)
     number = rows["lang"].map(labels.index).to_numpy()
-    model = ByteGru(labels).fit(windows, number[owner])
-    model.least_score = least_score(model.document_probabilities(texts), number)
-    return model
+    return ByteGru(labels).fit(windows, number[owner])
+
+
+def _halfway(labels: int, least: float | None) -> float:
+    return float((1 / labels + least) / 2) if labels > 1 and least is not None else 0.0
 
 
 def least_score(probabilities: np.ndarray, number: np.ndarray) -> float:
@@ -197,9 +197,21 @@ def least_score(probabilities: np.ndarray, number: np.ndarray) -> float:
 
     0 with one label, or if no row is right.
     """
-    labels = probabilities.shape[1]
     right = probabilities[probabilities.argmax(axis=1) == number].max(axis=1)
-    return float((1 / labels + right.min()) / 2) if labels > 1 and len(right) else 0.0
+    return _halfway(probabilities.shape[1], right.min() if len(right) else None)
+
+
+def least_score_of_all(found: DataFrame, model: ByteGru | None, name: str = "language") -> float:
+    """:func:`least_score` over every document that may be learnt from, of documents with the struct of :func:`predicted`.
+
+    Held-out documents and those without an id, text or language take no part.
+    """
+    if model is None:
+        return 0.0
+    known = found.where(F.col("doc_id").isNotNull() & ~held_out() & (F.col(f"{name}.lang_pred") == F.col("lang")))
+    # an empty text is like no language, also if a language has the name of none
+    score = F.when(F.col(f"{name}.score") > 0, F.col(f"{name}.score"))
+    return _halfway(len(model.labels), known.agg(F.min(score).alias("least")).first().least)
 
 
 def predicted(model: ByteGru | None, text: Column) -> Column:

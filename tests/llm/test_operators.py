@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -374,6 +375,29 @@ def test_least_language_score():
     assert language.least_score(p[:0], np.zeros(0, int)) == 0.0
 
 
+def test_least_language_score_is_of_all_documents(spark):
+    model = language.ByteGru(["a", "b"])
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    held = next(i for i in range(60) if not zlib.crc32(str(i).encode()) % 5)
+    rows = [(i, "a", ("a", 0.9)) for i in ids[1:]]
+    # least of all, though any sample of some documents may miss it; then rows that take no part
+    rows += [(ids[0], "b", ("b", 0.7)), (ids[1], "a", ("b", 0.6)), (held, "a", ("a", 0.51)), (None, "a", ("a", 0.52)), (ids[2], None, ("a", 0.53))]
+    found = spark.createDataFrame(rows, "doc_id long, lang string, language struct<lang_pred:string,score:double>")
+    assert language.least_score_of_all(found, model) == (0.5 + 0.7) / 2
+    assert language.least_score_of_all(found.where("doc_id is null"), model) == 0.0
+    assert language.least_score_of_all(found, None) == 0.0
+
+
+def test_fingerprints_take_little_memory():
+    texts = [" ".join(f"w{i * 7 + j}" for j in range(300)) for i in range(600)]
+    tracemalloc.start()
+    try:
+        simhash.fingerprints_of(texts)
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
