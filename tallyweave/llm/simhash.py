@@ -32,6 +32,8 @@ BITS = 64
 BLOCK = 1024
 #: Up to this many rows of a segment value, all rows are compared at once with their neighbours.
 SMALL_RUN = 8
+#: Characters of text hashed at once: their words make about 50 bytes of numbers a character for a moment.
+HASH_CHARS = 1 << 17
 
 
 def shingle_hashes(text: str, shingle: int = SHINGLE) -> list[int]:
@@ -51,7 +53,7 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarr
     """Signed 64-bit fingerprints; zero for a null text or one without a word."""
     out = np.zeros(len(texts), np.int64)
     done = 0
-    for part in chunks([t or "" for t in texts]):
+    for part in chunks([t or "" for t in texts], HASH_CHARS):
         hashes = [shingle_hashes(t, shingle) for t in part]
         sizes = np.fromiter(map(len, hashes), np.int64, len(part))
         full = np.flatnonzero(sizes)
