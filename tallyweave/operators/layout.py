@@ -85,7 +85,7 @@ def clustered(df: DataFrame, columns: list[str], files: int | None = None, first
 
     ``first`` names columns that come before it, such as the one the table is partitioned by. The
     columns themselves and a random number of each row end the order, so that rows with one
-    key still spread over partitions.
+    key still spread over partitions. Wide rows of few values a column travel as short ones.
     """
     keyed = df.withColumn("__key", clustering_key(df, columns))
-    return range_placed(keyed, [*first, "__key", *columns], partitions=files).drop("__key")
+    return range_placed(keyed, list(dict.fromkeys([*first, "__key", *columns])), partitions=files, fold=True).drop("__key")

@@ -161,7 +161,8 @@ def persist_table(df: DataFrame, table: str, path: str, files: int | None = None
     partition, layout = partition_column(df, table), cluster_columns(df, table)
     if layout:
         copy = new_path(spark, "staged")
-        df.withColumn(SALT, F.rand(17)).write.parquet(copy)
+        # four bytes of it are enough to spread rows
+        df.withColumn(SALT, F.rand(17).cast("float")).write.option("compression", "zstd").parquet(copy)
         staged = spark.read.parquet(copy)
         rows = footer_rows(spark, copy)
         _write(clustered(staged, layout, files, first=[partition] if partition else []), path, partition, fmt)

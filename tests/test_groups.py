@@ -113,3 +113,19 @@ def test_hot_group_join_is_split_at_run_time(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_folded_rows_come_back_the_same(spark):
+    rows = [
+        (i, None if i % 5 == 0 else f"g{i % 7}", None if i % 11 == 0 else i % 3, [True, False, None][i % 3], "" if i % 2 else " x", i * 31 % 997, [0.0, -0.0, None][i % 3])
+        for i in range(1000)
+    ]
+    df = spark.createDataFrame(rows, "id long, g string, k int, b boolean, e string, many int, d double")
+    narrow, unfold = placement.folded(df, {"id"})
+    # columns of few values went as themselves before
+    assert narrow.columns == ["id", "many", "d", "__fold0"]
+    back = unfold(narrow.withColumn("more", F.lit(1)).repartition(3, "many"))
+    assert back.schema.names == [*df.columns, "more"] and [t for _, t in back.dtypes[:-1]] == [t for _, t in df.dtypes]
+    assert sorted(map(repr, back.drop("more").collect())) == sorted(map(repr, df.collect()))
+    empty, unfold = placement.folded(df.where("id < 0"), set())
+    assert unfold(empty).dtypes == df.dtypes and unfold(empty).count() == 0
