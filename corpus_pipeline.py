@@ -46,9 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of long repeated strings go from the texts; a character cut in two goes whole."""
-    cut = substrings.cut_repeats(docs.select(COLUMNS), PASSAGE_BYTES)
-    text = F.when(F.col("cut.n_removed") == 0, F.col("text")).otherwise(substrings.whole_characters("cut.kept"))
-    cut = cut.withColumn("text", text)
+    cut = substrings.without_repeats(docs.select(COLUMNS), PASSAGE_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

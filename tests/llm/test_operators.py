@@ -128,6 +128,27 @@ def test_cut_repeats(docs, nothing):
     assert substrings.cut_repeats(nothing[0]).count() == 0
 
 
+def test_suffix_dedup_starts_one_worker_a_task(docs, nothing):
+    """Two Python functions in one task need two workers, and an executor keeps all workers it ever had."""
+    import corpus_pipeline as own
+
+    rows = docs.select(own.COLUMNS)
+    # repeats that begin or end within a character
+    cyrillic = [(200 + i, chr(0x430 + i) * 3 + "ж" * 200 + "абв"[i] * 9, None, None, None) for i in range(3)]
+    cyrillic.append((300, "\u0416" * 200, None, None, None))
+    rows = rows.union(docs.sparkSession.createDataFrame(cyrillic, rows.schema))
+    found = own.suffix_dedup(docs.sparkSession, rows, "")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    cut = substrings.cut_repeats(rows, own.PASSAGE_BYTES).collect()
+    expected = [r.text if not r.cut.n_removed else bytes(r.cut.kept).decode("utf-8", "ignore") for r in cut]
+    assert any(r.cut.n_removed for r in cut) and any(r.text is None for r in cut)
+    assert any(len(bytes(r.cut.kept)) > len(t.encode()) for r, t in zip(cut, expected) if t is not None and r.cut.n_removed)
+    by_id = lambda rows: sorted(rows, key=repr)
+    expected = [(r.doc_id, t, r.lang, r.source, None if t is None else len(t)) for r, t in zip(cut, expected)]
+    assert by_id(map(tuple, found.collect())) == by_id(expected)
+    assert own.suffix_dedup(docs.sparkSession, nothing[0], "").count() == 0
+
+
 def test_packing(docs, nothing, tmp_path):
     path = str(tmp_path / "pieces")
     packing.token_pieces(docs, TOKENIZER).write.parquet(path)
