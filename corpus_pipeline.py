@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import language, quality, simhash, substrings
 from tallyweave.llm.queries import packed
-from tallyweave.llm.tables import read, stored
+from tallyweave.llm.tables import read, stored, text_digest, without_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of a repeated string that goes. Of passages of 51 words, 98 to 99 in 100 are longer in the languages at hand
@@ -27,11 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that are not held out.
     """
     model = language.learn(docs)
-    # scored once, read for the least score and for the rows
-    found = stored(language.with_language(docs.select(COLUMNS), model), "scored")
+    # scored once, read for the least score and for the texts that go
+    scored = language.with_language(docs.select("doc_id", "text", "lang"), model)
+    found = stored(scored.select("doc_id", "lang", "language", text_digest().alias("digest")), "scored")
     least = language.least_score_of_all(found, model)
     known = (F.col("language.lang_pred") != language.UNKNOWN) & (F.col("language.score") >= least)
-    return found.where(known).select(COLUMNS)
+    return without_texts(docs.select(COLUMNS), found.where(~known))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

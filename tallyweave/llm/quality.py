@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.tables import least_hashed, stored
+from tallyweave.llm.tables import least_hashed, stored, text_digest, without_texts
 
 REPEAT_WINDOW = 8
 LEAST_WORDS = 20
@@ -231,7 +231,8 @@ def with_verdict(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
 
 def filtered(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`with_verdict` keeps."""
-    row = F.struct(*docs.columns).alias("row")
-    counted = stored(docs.select(row, rule_counts(F.col("text")).alias("c")).select("row", "c.*"), "counts")
-    forest, limit = learnt(counted.select(F.col("row.doc_id").alias("doc_id"), *_COUNTS), labels, fit_rows)
-    return _judged(counted, forest, limit).where("kept").select("row.*")
+    counted = docs.select("doc_id", text_digest().alias("digest"), rule_counts(F.col("text")).alias("c"))
+    counted = stored(counted.select("doc_id", "digest", "c.*"), "counts")
+    forest, limit = learnt(counted.drop("digest"), labels, fit_rows)
+    judged = _judged(counted, forest, limit)
+    return without_texts(docs, judged.where(~F.coalesce("kept", F.lit(False))))

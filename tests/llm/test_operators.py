@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -149,6 +150,27 @@ def test_suffix_dedup_starts_one_worker_a_task(docs, nothing):
     assert own.suffix_dedup(docs.sparkSession, nothing[0], "").count() == 0
 
 
+def test_stages_leave_no_texts_behind(labelled, tmp_path):
+    """What a stage writes on the way stays on disk to the end; verdicts need no copy of the texts."""
+    import corpus_pipeline as own
+
+    rows, labels = labelled
+    spark = rows.sparkSession
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    twice = rows.select(own.COLUMNS).limit(3)
+    empty = spark.createDataFrame([(900, None, "de", None, None), (901, "", None, None, None), (None, "1 2", None, None, None)], twice.schema)
+    rows = rows.select(own.COLUMNS).union(twice).union(empty).cache()
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    found = own.language_id(spark, rows, str(tmp_path))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, rows.exceptAll(empty).collect()), key=repr)
+    kept = own.quality_rules(spark, rows, str(tmp_path))
+    verdict = quality.with_verdict(rows, labels).where("kept").select("doc_id")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in verdict.collect())
+    written = [spark.read.parquet(str(p)) for p in folder.iterdir() if p not in before]
+    assert written and not any({"text", "row"} & set(w.columns) for w in written)
+
+
 def test_packing(docs, nothing, tmp_path):
     path = str(tmp_path / "pieces")
     packing.token_pieces(docs, TOKENIZER).write.parquet(path)
