@@ -245,3 +245,21 @@ def test_experiments_run_side_by_side(spark):
     # each waits for the others: one after another they would never end
     meet = threading.Barrier(3, timeout=60)
     assert trials._together(spark, [lambda i=i: (meet.wait(), i)[1] for i in range(3)]) == [0, 1, 2]
+
+
+def test_the_query_that_trains_all_searches_whole_grids(spark, wide, monkeypatch):
+    # it had one target, two folds and two points a type
+    from contract import k_models
+
+    seen = {}
+
+    def caught(spark, tables, folder, settings, model_types=models.presets.MODEL_TYPES, targets=2):
+        seen.update(tables=list(tables), grids=settings.grids, folds=settings.folds, types=list(model_types), targets=targets)
+
+    monkeypatch.setattr(k_models, "views", lambda spark, sf: {})
+    monkeypatch.setattr(k_models, "silver_tables", lambda tables: ({"censo_master": wide, "enemdu_master": wide}, []))
+    monkeypatch.setattr(trials, "train_all", caught)
+    k_models.k24(spark, "")
+    assert seen == {
+        "tables": ["censo_master", "enemdu_master"], "grids": models.GRIDS, "folds": 3, "types": models.presets.MODEL_TYPES, "targets": 2,
+    }
