@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import catalog, indexing, models, search, trials
+from tallyweave.operators import catalog, indexing, models, search, trees, trials
 
 SMALL = {
     "RandomForest": {"numTrees": 3, "maxDepth": 3},
@@ -263,3 +263,86 @@ def test_the_query_that_trains_all_searches_whole_grids(spark, wide, monkeypatch
     assert seen == {
         "tables": ["censo_master", "enemdu_master"], "grids": models.GRIDS, "folds": 3, "types": models.presets.MODEL_TYPES, "targets": 2,
     }
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """120,000 rows ready for a fit: values of few kinds, of many, and one that never changes."""
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(120_000, numPartitions=4).selectExpr(
+        "CAST(abs(hash(id, 1)) % 7 AS DOUBLE) AS a", "CAST(abs(hash(id, 2)) % 9 AS DOUBLE) AS b",
+        "CAST(abs(hash(id, 3)) % 10007 AS DOUBLE) / 10007 AS c", "0.0D AS d", "abs(hash(id, 4)) % 100 AS noise", "id",
+    )
+    df = df.selectExpr("*", "CAST(a + b + 4 * c + noise / 25 > 10 AS DOUBLE) AS label")
+    ready = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="scaled_features").transform(df)
+    return ready.select("label", "scaled_features", *"abcd", (F.col("id") % 10 / 10).alias("fold_place")).cache()
+
+
+@pytest.mark.parametrize("model_type, settings", [
+    ("GradientBoosting", {"maxIter": 4, "maxDepth": 4, "stepSize": 0.2}),
+    ("RandomForest", {"numTrees": 12, "maxDepth": 6, "minInstancesPerNode": 20}),
+])
+def test_trees_from_counted_rows_are_those_of_the_library(spark, many, model_type, settings, tmp_path):
+    estimator = models.classifier(model_type, {model_type: settings})
+    found = trees.counts(many)
+    ours, theirs = trees.fitted(found, estimator, model_type, settings, 42), estimator.fit(many)
+    found.release()
+    assert type(ours) is type(theirs) and len(ours.trees) == len(theirs.trees)
+    assert ours.getOrDefault("maxDepth") == settings["maxDepth"] == max(t.depth for t in ours.trees)
+    got, want = (models.scores(m.transform(many)) for m in (ours, theirs))
+    assert got == pytest.approx(want, abs=0.003)
+    assert list(ours.featureImportances.toArray()) == pytest.approx(list(theirs.featureImportances.toArray()), abs=0.06)
+    if model_type == "GradientBoosting":
+        # nothing is drawn: the first splits and all leaves of values of few kinds are the same
+        assert ours.trees[0].toDebugString.split("\n")[1:3] == theirs.trees[0].toDebugString.split("\n")[1:3]
+    ours.write().save(str(tmp_path / "m"))
+    again = type(ours).load(str(tmp_path / "m"))
+    assert models.scores(again.transform(many)) == got
+
+
+def test_boosted_trees_of_few_values_equal_the_library_in_every_row(spark, many):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = VectorAssembler(inputCols=["a", "b", "d"], outputCol="scaled_features").transform(many.drop("scaled_features"))
+    settings = {"maxIter": 5, "maxDepth": 4, "stepSize": 0.1}
+    estimator = models.classifier("GradientBoosting", {"GradientBoosting": settings})
+    found = trees.counts(df)
+    ours, theirs = trees.fitted(found, estimator, "GradientBoosting", settings, 42), estimator.fit(df)
+    found.release()
+    margins = [{(r.a, r.b): r.rawPrediction[1] for r in m.transform(df).select("a", "b", "rawPrediction").distinct().collect()} for m in (ours, theirs)]
+    assert margins[0] == pytest.approx(margins[1], abs=1e-9) and len(margins[0]) == 63
+
+
+def test_one_fit_serves_fewer_trees_and_less_depth(spark, many):
+    found = trees.counts(many)
+    held = trees.counts(many, found.ends)
+    for model_type, points in (
+        ("RandomForest", [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": 5} for n in (3, 6) for d in (3, 8)]),
+        ("GradientBoosting", [{"maxIter": n, "maxDepth": 3, "stepSize": 0.1} for n in (2, 5)]),
+    ):
+        together = trees.areas_by_task(found, held, model_type, points, 42)
+        for point, auc in zip(points, together, strict=True):
+            assert trees.areas_by_task(found, held, model_type, [point], 42) == [auc]
+            model = trees.fitted(found, models.classifier(model_type, {model_type: point}), model_type, point, 42)
+            assert models.auc_evaluator().setNumBins(0).evaluate(model.transform(many)) == pytest.approx(auc, abs=1e-9)
+    found.release(), held.release()
+
+
+def test_a_search_of_many_rows_fits_trees_once_for_points_alike(spark, many, tmp_path, monkeypatch):
+    # each point of each fold was a fit of its own over all rows
+    fits, whole, asked = [], models.classifier, trees.areas_by_task
+    monkeypatch.setattr(models, "classifier", lambda m, *a: (fits.append(m), whole(m, *a))[1])
+    monkeypatch.setattr(trees, "areas_by_task", lambda f, t, m, p, s: (fits.append((m, len(p))), asked(f, t, m, p, s))[1])
+    monkeypatch.setattr(trees, "MIN_ROWS", 10_000)
+    grids = {"RandomForest": {"numTrees": [2, 4], "maxDepth": [3, 5]}, "GradientBoosting": {"maxIter": [2, 3], "maxDepth": [3]},
+             "LogisticRegression": {"regParam": [0.1]}}
+    scores = search.searched(many.drop("scaled_features"), ["a", "b", "c"], str(tmp_path), "s", list(grids), SMALL, grids, 2)
+    assert sorted(fits, key=str) == sorted([("RandomForest", 4), ("GradientBoosting", 2), "LogisticRegression"] * 2, key=str)
+    assert scores.count() == 14 and all(0.8 < r.auc < 1 for r in scores.collect())
+
+
+def test_rows_of_too_many_combinations_are_left_to_the_library(spark, many, monkeypatch):
+    monkeypatch.setattr(trees, "MAX_CELLS", 100)
+    assert trees.counts(many) is None and trees.counts(many.limit(1000)) is None
+    assert not trees.fits("RandomForest", {"numTrees": 3, "impurity": "entropy"}) and not trees.fits("LogisticRegression", {})
