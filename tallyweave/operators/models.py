@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tallyweave import presets
 from tallyweave.functions.columns import containing, present, quoted, starting, with_label
 from tallyweave.functions.expressions import as_double
+from tallyweave.operators import trees
 from tallyweave.operators.catalog import leaf_sources
 from tallyweave.operators.indexing import FrequencyIndexer
 from tallyweave.sources.workspace import shared_folder, stored
@@ -199,12 +200,15 @@ def feature_stages(numeric: Sequence[str], text: Sequence[str]) -> list:
     return stages
 
 
+def chosen(model_type: str, settings: str | Mapping) -> dict:
+    return dict((SETTINGS[settings] if isinstance(settings, str) else settings)[model_type])
+
+
 def classifier(model_type: str, settings: str | Mapping = "basic", suffix: str = "") -> Estimator:
     """Estimator of the named type; ``suffix`` ends the names of its output columns."""
     if model_type not in ESTIMATORS:
         raise ValueError(f"unknown model type: {model_type}")
-    chosen = (SETTINGS[settings] if isinstance(settings, str) else settings)[model_type]
-    params = dict(chosen) | ({"seed": presets.SEED} if model_type in SEEDED else {})
+    params = chosen(model_type, settings) | ({"seed": presets.SEED} if model_type in SEEDED else {})
     est = ESTIMATORS[model_type](
         featuresCol="scaled_features", labelCol="label", predictionCol=f"prediction{suffix}", **params
     )
@@ -224,11 +228,25 @@ def fitted(train: DataFrame, features: Sequence[str], model_type: str, settings:
     stages = Pipeline(stages=first).fit(train)
     ready = spread_rows(stages.transform(train).select("label", "scaled_features"))
     try:
-        return PipelineModel([*stages.stages, last.fit(ready)])
+        return PipelineModel([*stages.stages, *_fits(ready, {model_type: last}, settings).values()])
     finally:
         ready.unpersist()
 
 
+def _fits(ready: DataFrame, estimators: Mapping[str, Estimator], settings: str | Mapping) -> dict[str, Model]:
+    """Models of one set of rows by type; trees grow from the counted rows of a large table where they can."""
+    known = {m for m in estimators if trees.fits(m, chosen(m, settings))}
+    found = trees.counts(ready) if known else None
+    try:
+        return {
+            m: trees.fitted(found, e, m, chosen(m, settings), presets.SEED) if found and m in known else e.fit(ready)
+            for m, e in estimators.items()
+        }
+    finally:
+        if found:
+            found.release()
+
+
 def cuts_lineage(spark: SparkSession) -> None:
     """Let iterative estimators checkpoint into the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -343,7 +361,7 @@ def fit_ensemble(
     stages = Pipeline(stages=feature_stages(numeric, text)).fit(train)
     ready = spread_rows(stages.transform(train).select("label", "scaled_features"))
     try:
-        models = {m: classifier(m, settings, f"_{m}").fit(ready) for m in model_types}
+        models = _fits(ready, {m: classifier(m, settings, f"_{m}") for m in model_types}, settings)
     finally:
         ready.unpersist()
     return Ensemble(stages, models, rule)
